@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 #: Odd weights of the 256 byte values, and the odd base of the polynomial.
@@ -67,7 +68,7 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20):
     if not len(column):
         return
     ends = np.cumsum(np.nan_to_num(np.asarray(
-        pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)))
+        pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)))
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
