@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, simhash_ball
+from . import decontaminate, sharding, simhash_ball, weak_quality
 from .shared import table
 
 
@@ -30,6 +30,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return weak_quality.label(docs).select("doc_id", *counts, "base_failed", "kept", "quality")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_ball.classes(docs).select("doc_id", simhash_ball.hex16().alias("fingerprint"), "component_id")
@@ -64,6 +70,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op8_quality_rules, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
