@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, simhash_ball, weak_quality
+from . import bpe_codec, decontaminate, sharding, simhash_ball, weak_quality
 from .shared import table
 
 
@@ -36,6 +37,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.label(docs).select("doc_id", *counts, "base_failed", "kept", "quality")
 
 
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_codec.encode(docs, path).select("doc_id", "ids")
+    return bpe_codec.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_ball.classes(docs).select("doc_id", simhash_ball.hex16().alias("fingerprint"), "component_id")
@@ -70,6 +81,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op8_quality_rules, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
