@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, sharding, simhash_ball, weak_quality
+from . import bpe_codec, decontaminate, sharding, simhash_ball, token_store, weak_quality
 from .shared import table
 
 
@@ -31,6 +31,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         decontaminate.contaminated(found).alias("contaminated"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_store.write(docs, token_store.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.verified(spark, folder)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -81,6 +87,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
