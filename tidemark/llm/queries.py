@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, sharding, simhash_ball, token_store, weak_quality
+from . import bpe_codec, decontaminate, lang_id, sharding, simhash_ball, token_store, weak_quality
 from .shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     dealt = sharding.shuffle(docs, 16, scan=True)
@@ -87,6 +91,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op1_language_id, op2_sharding, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
