@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, lang_id, sharding, simhash_ball, token_store, weak_quality
+from . import bpe_codec, decontaminate, lang_id, sharding, simhash_ball, token_store, toxicity, weak_quality
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = F.col("found")
@@ -91,6 +95,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op1_language_id, op2_sharding, op5_toxicity, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
