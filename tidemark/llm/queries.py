@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, lang_id, quote_links, sharding, simhash_ball, token_store, toxicity, weak_quality
+from . import bpe_codec, decontaminate, lang_id, lm_score, quote_links, sharding, simhash_ball, token_store, toxicity, weak_quality
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link(table(spark, sf_dir, "conversations"))
 
@@ -99,6 +103,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sharding, op4_quote_linking, op5_toxicity, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
+    f.__name__: f for f in (op1_language_id, op2_sharding, op3_lm_score, op4_quote_linking, op5_toxicity, op6_benchmark_decontamination, op7_token_store, op8_quality_rules, op9_bpe_encoding, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
