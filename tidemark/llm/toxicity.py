@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .shared import stored
 
 # The seed lexicon.
 LEXICON = {
@@ -322,24 +323,31 @@ def fit_weights(patterns: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.nd
     return w
 
 
-def fit(labelled: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """From rows (text, toxic); see the module for what is bounded and what is not."""
-    labelled = labelled.where("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    short = labelled.where(F.length("text") <= FIT_CHARS)
-    sizes = {r["toxic"]: r["count"] for r in short.groupBy("toxic").count().collect()}
+def sample(docs: DataFrame, known: DataFrame) -> list[tuple[str, int]]:
+    """(text, toxic) of a bounded sample of `known` (doc_id, toxic), chosen by a hash of doc_id.
+
+    Only the chosen ids, FIT_TOXIC + FIT_OTHER about, go to the texts; the texts stay where they are.
+    """
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     most = {1: FIT_TOXIC, 0: FIT_OTHER}
     share = {t: min(1.0, most[t] / max(1, sizes.get(t, 0))) for t in most}
-    draw = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
-    some = short.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).dropDuplicates(["text"]).collect()
-    some.sort(key=lambda r: r["text"])
-    lexicon = learn_lexicon([r["text"] for r in some], [r["toxic"] for r in some])
+    draw = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    ids = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).dropDuplicates(["doc_id"])
+    some = docs.where(F.length("text") <= FIT_CHARS).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return sorted((r["text"], r["toxic"]) for r in some.dropDuplicates(["text"]).collect())
+
+
+def fit(counted: DataFrame, known: DataFrame) -> np.ndarray:
+    """Weights from all labelled rows: counts `n` of documents, joined to (doc_id, toxic)."""
     capped = F.transform("n", lambda c: F.least(c, F.lit(CAP)))
-    rows = _add_counts(labelled, lexicon, "text", "n").groupBy(capped.alias("n"), "toxic").count().collect()
+    rows = counted.join(known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "doc_id").groupBy(
+        capped.alias("n"), "toxic").count().collect()
     if not rows:
-        return lexicon, PRIOR
+        return PRIOR
     rows.sort(key=lambda r: (list(r["n"]), r["toxic"]))
-    return lexicon, fit_weights(np.array([r["n"] for r in rows]), np.array([r["toxic"] for r in rows], float),
-                                np.array([r["count"] for r in rows], float))
+    return fit_weights(np.array([r["n"] for r in rows]), np.array([r["toxic"] for r in rows], float),
+                       np.array([r["count"] for r in rows], float))
 
 
 def score_column(weights: np.ndarray, counts: str) -> Column:
@@ -357,7 +365,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
     """
     slim = docs.select("doc_id", "text")
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    lexicon, weights = fit(slim.join(known, "doc_id").select("text", "toxic"))
-    found = _add_counts(slim, lexicon, "text", "n").withColumn("score", score_column(weights, "n"))
+    some = sample(slim, known)
+    lexicon = learn_lexicon([t for t, _ in some], [y for _, y in some])
+    # Counts are small and cost the most: kept in the shared folder, read for the fit and for the scores.
+    counted = stored(_add_counts(slim, lexicon, "text", "n").drop("text"), "toxicity")
+    found = counted.withColumn("score", score_column(fit(counted, known), "n"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                         (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("n").alias("matches"))
