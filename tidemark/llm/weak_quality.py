@@ -192,5 +192,9 @@ def keep(docs: DataFrame, text: str = "text", rules=RULES, threshold: float = 0.
         return keep(docs, docs.columns[names.index(text)], rules, threshold).toDF(*names)
     slim = stored(measures(docs.select(F.col(text).alias("text"))).drop("text"), "quality")
     estimate = fit(slim, rules)
-    rows = measures(docs, text)
-    return rows.where(~base_failed() & (posterior(estimate, rules) >= threshold)).drop("m")
+    # The row number keeps the optimizer from writing the measures out inside the filter, once
+    # for every mention: a filter isn't moved below a column it needs that isn't deterministic.
+    row = free_name(docs, "_row")
+    rows = measures(docs, text).withColumn(row, F.monotonically_increasing_id())
+    good = ~base_failed() & (posterior(estimate, rules) >= threshold)
+    return rows.where(good & (F.col(row) >= 0)).drop("m", row)
