@@ -29,7 +29,7 @@ import numpy as np
 
 #: Words of more symbols go one by one through the same tables.
 LONG_WORD = 256
-WORDS_A_STEP = 1 << 15
+WORDS_A_STEP, CELLS_A_STEP = 1 << 15, 1 << 19
 
 
 def byte_labels() -> list[str]:
@@ -92,7 +92,7 @@ class Automaton:
             most = int(n[order[at]])
             if not most:
                 break
-            step = 1 if most > LONG_WORD else WORDS_A_STEP
+            step = 1 if most > LONG_WORD else min(WORDS_A_STEP, CELLS_A_STEP // most)
             rows = order[at : at + step]
             at += step
             walk = self._walk_long if most > LONG_WORD else self._walk

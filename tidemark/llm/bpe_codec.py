@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from . import bpe_automaton, textbuf
 from .presplit import Splitter
 
-KEPT_PIECES = 500_000
+KEPT_PIECES = 300_000
+#: Ids that are spelled out at a time.
+IDS_A_STEP = 1 << 20
 _COMPILED: dict[str, bpe_automaton.Automaton] = {}
 _SPLITTERS: dict[str, Splitter] = {}
 
@@ -121,15 +123,14 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
         names = pa.array(labels.value, pa.large_string())
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            column = pa.ListArray.from_arrays(_offsets(column), column.flatten())
-            spelled = pa.LargeListArray.from_arrays(column.offsets.cast(pa.int64()), names.take(column.values))
-            joined = pc.binary_join(spelled, pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined.cast(pa.string())], [*batch.schema.names, into])
+            n = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            upto, lo = np.cumsum(n), 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + IDS_A_STEP, "right")))
+                offsets = np.concatenate([[0], np.cumsum(n[lo:hi])])
+                spelled = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), names.take(column.slice(lo, hi - lo).flatten()))
+                joined = pc.binary_join(spelled, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, joined], [*batch.schema.names, into])
+                lo = hi
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.StringType())]))
-
-
-def _offsets(column: pa.ListArray) -> pa.Array:
-    """Offsets from zero into column.flatten(); a null list is an empty one."""
-    n = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    return pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())

@@ -32,8 +32,10 @@ from .shared import free_name
 UNDETERMINED = "und"
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 MOST_LANGUAGES = 500
+#: Bytes of text whose grams are counted at a time.
+SLICE_BYTES = 1 << 20
 
 # Families of closely related written languages (ISO 639-1 codes).
 FAMILIES = {
@@ -57,16 +59,20 @@ def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(docs * BUCKETS, np.float32)
     if not len(raw):
         return out.reshape(docs, BUCKETS)
-    doc = np.repeat(np.arange(docs, dtype=np.int64), np.diff(offsets))
+    doc = np.repeat(np.arange(docs, dtype=np.int32) * BUCKETS, np.diff(offsets))
+    sizes = np.diff(offsets)
     code = np.zeros(len(raw), np.uint32)
+    inside = np.ones(len(raw), bool)
     for k in range(max(ORDERS)):
+        order = k + 1
         code[: len(raw) - k] |= raw[k:].astype(np.uint32) << np.uint32(8 * k)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))
-    for order in ORDERS:
-        part = code & np.uint32((1 << 8 * order) - 1)
-        bucket = ((part ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(20)
-        at = (doc * BUCKETS + bucket)[left >= order]
-        out += np.bincount(at, minlength=docs * BUCKETS)
+        if k:
+            # No gram of this order starts at any of a document's last `k` bytes.
+            inside[(offsets[1:] - k)[sizes >= k]] = False
+        if order in ORDERS:
+            part = code if order == 4 else code & np.uint32((1 << 8 * order) - 1)
+            bucket = ((part ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(20)
+            out += np.bincount((doc + bucket.astype(np.int32))[inside], minlength=docs * BUCKETS)
     return out.reshape(docs, BUCKETS)
 
 
@@ -80,14 +86,14 @@ def features(column: pa.Array) -> np.ndarray:
 
 def _fit_pair(x: np.ndarray, y: np.ndarray, rng, c: float = 20.0, epochs: int = 15) -> tuple[np.ndarray, float]:
     """Linear SVM by dual coordinate descent (Hsieh et al. 2008); the last feature is a constant."""
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norms = (x * x).sum(1)
+    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(x))
+    norms = np.einsum("ij,ij->i", x, x)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             step = (1 - y[i] * (x[i] @ w)) / norms[i]
             new = min(max(alpha[i] + step, 0.0), c)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += x.dtype.type((new - alpha[i]) * y[i]) * x[i]
                 alpha[i] = new
     # Odds from margins: the slope that explains the labels best.
     margin = y * (x @ w)
@@ -150,7 +156,7 @@ def fit_arrays(x: np.ndarray, langs: list[str], seed: int = 5) -> Model | None:
     family = {n: FAMILY_OF.get(n, f"only {n}") for n in names}
     families = sorted(set(family.values()))
     mean = x.mean(0)
-    x = np.hstack([x - mean, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x - mean, np.ones((len(x), 1), x.dtype)])
     langs = np.array(langs, object)
     of_family = np.array([families.index(family[n]) for n in langs])
     members = []
@@ -176,7 +182,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> Mod
 
     def vectors(batches):
         for batch in batches:
-            for lo, hi in textbuf.slices(batch, "text"):
+            for lo, hi in textbuf.slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 x = features(part.column(1)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x])], ["lang", "x"])
@@ -198,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str
 
     def run(batches):
         for batch in batches:
-            for lo, hi in textbuf.slices(batch, text):
+            for lo, hi in textbuf.slices(batch, text, SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 has = part.column(part.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
                 column = part.column(part.schema.get_field_index(text))

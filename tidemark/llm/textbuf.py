@@ -38,7 +38,7 @@ def space_table() -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n; grown by doubling, kept between batches."""
     if len(_POW["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(16, int(n).bit_length() if n & (n - 1) else int(n - 1).bit_length())
         for key, base in (("up", int(BASE)), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -62,8 +62,8 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20):
-    """Consecutive row ranges (start, stop) whose texts hold about `most_bytes`, one row at least."""
+def slices(batch: pa.RecordBatch, name: str, most_bytes: int = (2 << 20) - (64 << 10), most_rows: int = 4096):
+    """Consecutive row ranges (start, stop) of `most_rows` at most whose texts hold about `most_bytes`, one row at least."""
     column = batch.column(batch.schema.get_field_index(name))
     if not len(column):
         return
@@ -72,7 +72,7 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20):
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
+        stop = min(start + most_rows, max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right"))))
         yield start, stop
         start = stop
 
