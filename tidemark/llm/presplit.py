@@ -61,7 +61,7 @@ class Splitter:
         parts = split["pretokenizers"] if split["type"] == "Sequence" else [split]
         if normaliser is None and parts[0]["type"] == "ByteLevel" and parts[0]["use_regex"] and not parts[0]["add_prefix_space"]:
             self.lower, self.keeps_space = False, True
-        elif (normaliser and [n["type"] for n in normaliser["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        elif (normaliser and [n["type"] for n in normaliser.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
               and len(parts) == 2 and parts[0].get("pattern") == {"Regex": WORD_PATTERN} and parts[0]["invert"]
               and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]):
             self.lower, self.keeps_space = True, False
