@@ -69,7 +69,7 @@ def project(df: DataFrame, projection: dict[str, Any] | None) -> DataFrame:
             df = _dropped(df, path)
         return df
     e, out = Expressions(df.schema), []
-    if "_id" in df.columns and projection.get("_id", 1):
+    if "_id" in df.columns and not isinstance(projection.get("_id"), (dict, str, list)) and projection.get("_id", 1):
         out.append(F.col("_id"))
     nested: dict[str, list[str]] = {}
     for name, v in projection.items():
@@ -190,7 +190,7 @@ class Pipeline:
         # becomes a struct afterwards.
         parts = keys if isinstance(keys, dict) and not any(k.startswith("$") for k in keys) else {"": keys}
         named = [e.compile(x).alias(f"_key_{i}") for i, x in enumerate(parts.values())]
-        out = df.groupBy(*named).agg(*aggregates)
+        out = df.groupBy(*named).agg(*aggregates) if aggregates else df.select(*named).distinct()
         if parts.keys() == {""}:
             return out.select(F.col("_key_0").alias("_id"), *[F.col(f"`{k}`") for k in made])
         whole = F.struct(*[F.col(f"_key_{i}").alias(k) for i, k in enumerate(parts)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators.paths import QueryError, to_utc
+from ..session import stored
 from .periods import DETAILS, TASKS, Selection, Windows, match, periods, sides
 
 
@@ -52,9 +53,8 @@ def ordered(rows: DataFrame) -> DataFrame:
 def class_shares(counts: Column, classes: Column) -> Column:
     """Map of every class to its share; zeros if nothing was counted."""
     known = F.array_union(classes, F.map_keys(counts))
-    n = stats.total(F.map_values(counts))
-    return F.map_from_entries(F.transform(known, lambda k: F.struct(k, F.when(
-        n > 0, F.coalesce(F.try_element_at(counts, k), F.lit(0)) / n).otherwise(F.lit(0.0)))))
+    return stats.let(stats.total(F.map_values(counts)), lambda n: F.map_from_entries(F.transform(known, lambda k: F.struct(k, F.when(
+        n > 0, F.coalesce(F.try_element_at(counts, k), F.lit(0)) / n).otherwise(F.lit(0.0))))))
 
 
 def summarised(rows: DataFrame, task: str, classes: list[str], edges: list[float] | None, now: datetime, detail: str = "full") -> DataFrame:
@@ -294,11 +294,8 @@ def analyse(docs: DataFrame, selection: Selection, windows: Windows, granularity
         raise QueryError(f"detail {detail!r}")
     now = now or datetime.now(timezone.utc)
     granularity = windows.granularity(granularity, config.max_periods)
-    rows = periods(match(docs, selection, windows, granularity), selection).cache()
-    try:
-        return _analysed(rows, selection, windows, granularity, detail, config, now)
-    finally:
-        rows.unpersist()
+    rows = stored(periods(match(docs, selection, windows, granularity), selection), "periods")
+    return _analysed(rows, selection, windows, granularity, detail, config, now)
 
 
 def _analysed(rows: DataFrame, selection, windows, granularity, detail, config, now) -> dict[str, Any]:
@@ -309,7 +306,7 @@ def _analysed(rows: DataFrame, selection, windows, granularity, detail, config,
     if selection.task is None and len(tasks) > 1:
         raise QueryError(f"several tasks match: {tasks}")
     task = selection.task or tasks[0]
-    numbered = ordered(rows).cache()
+    numbered = ordered(rows)
     facts = [r.asDict(True) for r in numbered.orderBy("idx").collect()]
     edge_sets: list[list[float]] = []
     for r in facts:
@@ -349,7 +346,6 @@ def _analysed(rows: DataFrame, selection, windows, granularity, detail, config,
     verdict = named.select("f", pre_verdict(F.col("f")).alias("v")).first()
     shown = [r.asDict(True) for r in summarise(numbered).orderBy("idx").collect()]
     near = [r.asDict() for r in consecutive(numbered, config, task).orderBy("period_index").collect()]
-    numbered.unpersist()
     union = lambda name: list(dict.fromkeys(x for r in facts for x in r[name] or [] if x is not None))
     add = lambda name: sum(r[name] or 0 for r in facts)
     bins = next((b for r in facts for b in r["bins"]), {})

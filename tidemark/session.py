@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Used only where the session names no shared folder, as in tests on one machine.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,3 +40,16 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(root, Path(folder, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/src"))
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from `spark.checkpoint.dir`."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """`df` written to the shared folder and read again: computed once, and no executor holds it."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
