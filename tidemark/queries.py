@@ -480,28 +480,31 @@ def _summaries(spark, sf):
 
 
 _DAY = "strftime(ts, '%Y-%m-%d')"
-_D = F.date_format("startDate", "yyyy-MM-dd").alias("day")
+
+
+def _day():
+    return F.date_format("startDate", "yyyy-MM-dd").alias("day")
 
 
 @query(f"SELECT {_DAY} AS day, 'total' AS kind, '' AS k, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT {_DAY}, 'class', event_type, count(*) FROM events GROUP BY ALL")
 def period_rows(spark, sf):
     docs = periods.match(event_documents(spark, sf), periods.Selection("m", "1"), JANUARY, "daily")
     cells = periods.cells_of(docs, periods.Selection("m", "1"))[1]
-    return cells.where("kind <> 'count'").groupBy("startDate", "kind", "k").agg(F.sum("c.count").alias("n")).select(_D, "kind", "k", "n")
+    return cells.where("kind <> 'count'").groupBy("startDate", "kind", "k").agg(F.sum("c.count").alias("n")).select(_day(), "kind", "k", "n")
 
 
 @query(f"""SELECT {_DAY} AS day, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 5) AS std, round(quantile_cont(c, 0.5), 6) AS median,
           round(avg(CASE WHEN c < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS below, strptime({_DAY}, '%Y-%m-%d') + INTERVAL 1 DAY > TIMESTAMP '2024-01-20 12:00:00' AS partial
           FROM ({_EV}) GROUP BY 1""")
 def period_summary(spark, sf):
-    return _summaries(spark, sf).select(_D, F.col("predictions").alias("n"), F.round("mean_confidence", 6).alias("mean"), F.round("std_confidence", 5).alias("std"),
+    return _summaries(spark, sf).select(_day(), F.col("predictions").alias("n"), F.round("mean_confidence", 6).alias("mean"), F.round("std_confidence", 5).alias("std"),
                                         F.round("median_confidence", 6).alias("median"), F.round("below_threshold_rate", 6).alias("below"), "partial")
 
 
 @query(f"""SELECT day, k, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM (SELECT {_DAY} AS day, event_type AS k, count(*) AS n
           FROM events GROUP BY ALL)""")
 def class_distribution(spark, sf):
-    return _summaries(spark, sf).select(_D, F.explode("class_distribution").alias("k", "share")).select("day", "k", F.round("share", 6).alias("share"))
+    return _summaries(spark, sf).select(_day(), F.explode("class_distribution").alias("k", "share")).select("day", "k", F.round("share", 6).alias("share"))
 
 
 @query(f"""WITH h AS (SELECT {_DAY} AS day, {_BIN} AS b, count(*) AS n FROM ({_EV}) GROUP BY ALL),
@@ -510,7 +513,7 @@ def class_distribution(spark, sf):
           SELECT day, round(arg_min(b / 10.0 + 0.1 * (0.5 * t - cum) / n, b), 6) AS median FROM g WHERE cum + n >= 0.5 * t GROUP BY 1""")
 def histogram_median(spark, sf):
     edges = F.array(*[F.lit(e) for e in EDGES])
-    return event_periods(spark, sf).select(_D, F.round(stats.histogram_quantile(F.col("confidence.histogram"), edges, 0.5), 6).alias("median"))
+    return event_periods(spark, sf).select(_day(), F.round(stats.histogram_quantile(F.col("confidence.histogram"), edges, 0.5), 6).alias("median"))
 
 
 @query(f"""SELECT count(*) AS n, round(sum(c), 5) AS s, count(DISTINCT {_DAY}) AS members, round(avg(c), 6) AS mean FROM ({_EV})""")
