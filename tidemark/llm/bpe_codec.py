@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from . import bpe_automaton, textbuf
 from .presplit import Splitter
+from .shared import lean
 
 KEPT_PIECES = 300_000
 #: Ids that are spelled out at a time.
@@ -112,7 +113,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
                 found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -133,4 +134,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, joined], [*batch.schema.names, into])
                 lo = hi
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, T.StringType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, T.StringType())]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
-from .shared import free_name
+from .shared import free_name, lean
 
 SIZE = 13
 BLOCK_BYTES = 16 << 20
@@ -168,7 +168,7 @@ def find(docs: DataFrame, bench: DataFrame, into: str = "found", text: str = "te
                 yield pa.RecordBatch.from_arrays([*columns, found], [*names, into])
 
         schema = T.StructType([f for f in out.schema if f.name != before] + [T.StructField(into, FOUND)])
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(lean(scan), schema)
         before = into
     return out
 

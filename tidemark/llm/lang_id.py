@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
-from .shared import free_name
+from .shared import free_name, lean
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 12
@@ -188,7 +188,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> Mod
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x])], ["lang", "x"])
 
     got: dict[str, list[bytes]] = {}
-    for r in some.mapInArrow(vectors, "lang string, x binary").collect():
+    for r in some.mapInArrow(lean(vectors), "lang string, x binary").collect():
         kept = got.setdefault(r["lang"], [])
         if len(kept) < 2 * per_language:  # a hash that favours a language can't exceed the bound
             kept.append(bytes(r["x"]))
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str
                                                  [*(part.schema.names[i] for i in keep), lang, score])
 
     schema = T.StructType([*docs.schema, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

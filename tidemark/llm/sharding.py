@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, stored
+from .shared import free_name, lean, stored
 
 #: Rows that one task permutes at most, about; shards are cut into at least LEAST_BLOCKS.
 BLOCK_ROWS = 1_000_000
@@ -106,7 +106,7 @@ def shuffle(df: DataFrame, shards: int, seed: int = 7, block_rows: int = BLOCK_R
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(b), pa.array(total[s, b])], ["s", "b", "n"])
 
     known = spark.createDataFrame([(int(p),) for p in parts], "p long").repartition(max(1, min(len(parts), 64)))
-    filled = known.mapInArrow(tally, "s long, b long, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).collect()
+    filled = known.mapInArrow(lean(tally), "s long, b long, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).collect()
     total = np.zeros((shards, blocks), np.int64)
     for r in filled:
         total[r["s"], r["b"]] = r["n"]
@@ -129,7 +129,7 @@ def shuffle(df: DataFrame, shards: int, seed: int = 7, block_rows: int = BLOCK_R
 
     schema = T.StructType([*df.schema, T.StructField(shard, T.IntegerType()), T.StructField(block, T.IntegerType()),
                            T.StructField(key, T.LongType())])
-    dealt = df.withColumn(at, F.spark_partition_id()).mapInArrow(deal, schema)
+    dealt = df.withColumn(at, F.spark_partition_id()).mapInArrow(lean(deal), schema)
     within = Window.partitionBy(shard, block).orderBy(key, *[c for c, t in df.dtypes if t in ("bigint", "int", "string")][:1])
     base = F.lit(0).cast("long") if not rows else F.element_at(F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in before]),
                                                        F.col(shard) + 1), F.col(block) + 1) if shards * blocks <= 4096 else None

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import components, textbuf
-from .shared import free_name, stored
+from .shared import free_name, lean, stored
 
 _LOWER, _SPACE = textbuf.lowered().tobytes(), b" \t\n\x0b\x0c\r"
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -52,7 +52,7 @@ def with_fingerprint(docs: DataFrame, into: str, text: str = "text", shingle: in
             prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in column], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, into])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema, T.StructField(into, T.LongType())]))
+    return docs.mapInArrow(lean(add), T.StructType([*docs.schema, T.StructField(into, T.LongType())]))
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:

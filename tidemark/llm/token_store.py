@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe_codec, textbuf
-from .shared import fresh_dir
+from .shared import fresh_dir, lean
 
 WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 BLOCK_DOCS = 200_000
@@ -119,7 +119,7 @@ def chunked(docs: DataFrame, path: str, text: str = "text", into: str = "chunked
                     ("payloads", pa.list_(pa.binary())), ("root", pa.binary())]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(into, CHUNKED)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, CHUNKED)]))
 
 
 def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> str:
@@ -182,7 +182,7 @@ def _block_roots(recipes: DataFrame) -> DataFrame:
             roots = [merkle([x["root"] for x in r]) for r in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["block", "documents", "ids", "root"])
 
-    return listed.mapInArrow(run, "block int, documents long, ids long, root binary")
+    return listed.mapInArrow(lean(run), "block int, documents long, ids long, root binary")
 
 
 _SHIFT: list[np.ndarray] = []
@@ -254,7 +254,7 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
                 out.append({"digest": key, "n": len(payload) // width, "crc": zlib.crc32(_wide(payload, width))})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("digest", pa.binary()), ("n", pa.int32()), ("crc", pa.int64())]))
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "payload").mapInArrow(read, "digest binary, n int, crc long")
+    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "payload").mapInArrow(lean(read), "digest binary, n int, crc long")
 
     def rooted(batches):
         for batch in batches:
@@ -307,7 +307,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "x").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return whole.select("doc_id", "start", "x").mapInArrow(lean(run), "doc_id long, start long, ids array<int>")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
-from .shared import stored
+from .shared import lean, stored
 
 # The seed lexicon.
 LEXICON = {
@@ -300,7 +300,7 @@ def _add_counts(rows: DataFrame, lexicon: Lexicon, text: str, into: str) -> Data
                 found = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(COUNTS), pa.int32()), pa.array(n.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, into])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(into, T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema, T.StructField(into, T.ArrayType(T.LongType()))]))
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
