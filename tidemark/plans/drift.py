@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 from ..operators.paths import QueryError, to_utc
@@ -337,11 +338,10 @@ def _analysed(rows: DataFrame, selection, windows, granularity, detail, config,
     enough = found is not None and found["sides_sufficient"]
     no_data = not enough if windows.comparison else sum(r["predictions"] for r in current) < least or (found is not None and not enough)
     spark = rows.sparkSession
-    split = F.struct("*").alias("s") if report is not None else None
-    base = report.select(split) if report is not None else compared(summarise(sides(numbered, F.lit(None).cast("string"))), config, task).select(
-        F.struct("*").alias("s"))
+    frame = report if report is not None else compared(summarise(sides(numbered, F.lit(None).cast("string"))), config, task)
+    base = frame.select(F.struct("*").alias("s"))
     if found is None:
-        base = spark.createDataFrame([(None,)], base.schema)
+        base = spark.createDataFrame([(None,)], T.StructType([T.StructField("s", base.schema[0].dataType, True)]))
     named = base.select(flags(config, F.col("s"), F.lit(bool(breaks)), F.lit(no_data), F.lit(few_periods), F.lit(bad_bins)).alias("f"))
     verdict = named.select("f", pre_verdict(F.col("f")).alias("v")).first()
     shown = [r.asDict(True) for r in summarise(numbered).orderBy("idx").collect()]
