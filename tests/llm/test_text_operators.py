@@ -217,3 +217,15 @@ def test_crc_parts():
 def test_merkle_roots_differ():
     leaves = [hashlib.sha256(bytes([i])).digest() for i in range(5)]
     assert token_store.merkle(leaves) != token_store.merkle(leaves[::-1]) and token_store.merkle([]) == b""
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch, texts):
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe_codec, "KEPT_PIECES", 40)
+    encoder = bpe_codec.BatchEncoder(bpe_codec.splitter(path), bpe_codec.compiled(path).encode)
+    for t in [*texts, *texts]:
+        ids, _ = encoder.encode(*textbuf.buffer_of(pa.array([t], pa.string())))
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids

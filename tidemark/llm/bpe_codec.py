@@ -2,7 +2,8 @@
 
 Texts are pre-split, each different piece of a batch goes through the automaton's tables once,
 and the ids of all pieces are laid end to end. Ids of recent pieces are kept per Python worker
-under a 64-bit hash of their bytes, at most KEPT_PIECES of them. The tables are built on the
+under a 64-bit hash of their bytes, at most KEPT_PIECES of them and a batch's; when there are
+more, those that no later batch asked for go. The tables are built on the
 driver from the vocabulary file and broadcast; their size depends on the file alone.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the strings of
@@ -23,7 +24,7 @@ from . import bpe_automaton, textbuf
 from .presplit import Splitter
 from .shared import lean
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 800_000
 #: Ids that are spelled out at a time.
 IDS_A_STEP = 1 << 20
 _COMPILED: dict[str, bpe_automaton.Automaton] = {}
@@ -51,16 +52,28 @@ class BatchEncoder:
         self._forget()
 
     def _forget(self):
-        self.known = np.empty(0, np.uint64)
+        self.known, self.asked = np.empty(0, np.uint64), np.empty(0, bool)
         self.ids, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
         self.row = np.empty(0, np.int64)
 
+    def _make_room(self):
+        keep = np.flatnonzero(self.asked)
+        if len(keep) > KEPT_PIECES // 2:
+            keep = keep[:0]
+        rows = self.row[keep]
+        counts = self.offsets[rows + 1] - self.offsets[rows]
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.ids = self.ids[np.repeat(self.offsets[rows] - ends[:-1], counts) + np.arange(ends[-1])]
+        self.known, self.offsets, self.row = self.known[keep], ends, np.arange(len(keep))
+        self.asked = np.zeros(len(keep), bool)
+
     def _rows(self, cut, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The row of self.ids for each different piece."""
         if len(self.known) > KEPT_PIECES:
-            self._forget()
+            self._make_room()
         at = np.searchsorted(self.known, h)
         new = np.ones(len(h), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != h
+        self.asked[at[~new]] = True
         if new.any():
             first, fixed = first[new], cut.fixed[first[new]]
             word = np.flatnonzero(fixed < 0)
@@ -80,6 +93,7 @@ class BatchEncoder:
             place = at[new]
             self.known = np.insert(self.known, place, h[new])
             self.row = np.insert(self.row, place, rows)
+            self.asked = np.insert(self.asked, place, False)
             at = np.searchsorted(self.known, h)
         return self.row[at]
 
