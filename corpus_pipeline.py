@@ -38,8 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe_codec.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return bpe_codec.decode(ids, path).select(
+    return bpe_codec.encode(docs.select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -113,21 +113,39 @@ class BatchEncoder:
 _WORKER: dict[str, BatchEncoder] = {}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """`docs` and the ids of each text as array<int>. `path`: a vocabulary file of the tokenizers library."""
+def _spelled(labels: pa.Array, offsets: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Labels of the arcs of each document, joined as the library joins them, IDS_A_STEP at a time."""
+    parts, lo = [], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + IDS_A_STEP, "right")) - 1)
+        each = labels.take(ids.slice(int(offsets[lo]), int(offsets[hi] - offsets[lo])))
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int64()), each)
+        parts.append(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string()))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`docs` and the ids of each text as array<int>; with `decoded`, also the text that the ids spell,
+    as `decode` gives it, in the same pass. `path`: a vocabulary file of the tokenizers library."""
     tables = docs.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORKER:
             _WORKER[path] = BatchEncoder(splitter(path), tables.value.encode)
+        labels = pa.array(tables.value.labels, pa.large_string())
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in textbuf.slices(batch, text):
                 ids, offsets = _WORKER[path].encode(*textbuf.buffer_of(column.slice(lo, hi - lo)))
-                found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, into])
+                ids = pa.array(ids)
+                new = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)]
+                new += [_spelled(labels, offsets, ids)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *new],
+                                                 [*batch.schema.names, into, *([decoded] if decoded else [])])
 
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, *fields]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -139,13 +157,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             n = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            upto, lo = np.cumsum(n), 0
-            while lo < len(n):
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + IDS_A_STEP, "right")))
-                offsets = np.concatenate([[0], np.cumsum(n[lo:hi])])
-                spelled = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), names.take(column.slice(lo, hi - lo).flatten()))
-                joined = pc.binary_join(spelled, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, joined], [*batch.schema.names, into])
-                lo = hi
+            joined = _spelled(names, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), column.flatten())
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined], [*batch.schema.names, into])
 
     return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, T.StringType())]))

@@ -54,9 +54,7 @@ class Splitter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         normaliser, split = spec["normalizer"], spec["pre_tokenizer"]
         parts = split["pretokenizers"] if split["type"] == "Sequence" else [split]
         if normaliser is None and parts[0]["type"] == "ByteLevel" and parts[0]["use_regex"] and not parts[0]["add_prefix_space"]:
@@ -73,6 +71,15 @@ class Splitter:
 
         self._byte = {c: b for b, c in enumerate(byte_labels())}
 
+    @property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, loaded when the first text needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def split(self, raw: np.ndarray, offsets: np.ndarray) -> "Pieces":
         """Pieces of each document, in order."""
         n_docs = len(offsets) - 1
