@@ -247,12 +247,12 @@ def reduce_array(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net,
-          round(round(l_extendedprice * (1 - l_discount), 6) * (1 + l_tax), 3) AS gross FROM lineitem WHERE l_orderkey < 500""")
+          round(round(l_extendedprice * (1 - l_discount), 6) * (1 + l_tax), 6) AS gross FROM lineitem WHERE l_orderkey < 500""")
 def addfields_chain(spark, sf):
     return pipe(spark, sf, "lineitem", [
         {"$match": {"l_orderkey": {"$lt": 500}}},
         {"$addFields": {"net": {"$round": [{"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, 6]}}},
-        {"$addFields": {"gross": {"$round": [{"$multiply": ["$net", {"$add": [1, "$l_tax"]}]}, 3]}}},
+        {"$addFields": {"gross": {"$round": [{"$multiply": ["$net", {"$add": [1, "$l_tax"]}]}, 6]}}},
         {"$project": {"l_orderkey": 1, "l_linenumber": 1, "net": 1, "gross": 1}}])
 
 
