@@ -114,8 +114,10 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-def test_shards_are_exact(spark, docs, no_docs):
-    dealt = sharding.shuffle(docs, 7).select("doc_id", "text", "shard", "slot").collect()
+@pytest.mark.parametrize("literal", [4096, 0])
+def test_shards_are_exact(spark, docs, no_docs, monkeypatch, literal):
+    monkeypatch.setattr(sharding, "LITERAL_BLOCKS", literal)
+    dealt = sharding.shuffle(docs, 7, block_rows=3).select("doc_id", "text", "shard", "slot").collect()
     assert Counter((r["doc_id"], r["text"]) for r in dealt) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
     sizes = Counter(r["shard"] for r in dealt)
     assert max(sizes.values()) - min(sizes.values()) <= 1
@@ -229,3 +231,10 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch, texts):
     for t in [*texts, *texts]:
         ids, _ = encoder.encode(*textbuf.buffer_of(pa.array([t], pa.string())))
         assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_decoding_in_the_same_pass(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe_codec.encode(docs, path, decoded="said")
+    assert both.columns == [*docs.columns, "ids", "said"]
+    assert bpe_codec.decode(both, path).where("NOT (decoded <=> said)").count() == 0

@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from .shared import free_name, lean, stored
 
 #: Rows that one task permutes at most, about; shards are cut into at least LEAST_BLOCKS.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
 LEAST_BLOCKS = 4
+#: With more blocks than this, where each starts comes by a join instead of a literal.
+LITERAL_BLOCKS = 4096
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -131,8 +133,12 @@ def shuffle(df: DataFrame, shards: int, seed: int = 7, block_rows: int = BLOCK_R
                            T.StructField(key, T.LongType())])
     dealt = df.withColumn(at, F.spark_partition_id()).mapInArrow(lean(deal), schema)
     within = Window.partitionBy(shard, block).orderBy(key, *[c for c, t in df.dtypes if t in ("bigint", "int", "string")][:1])
-    base = F.lit(0).cast("long") if not rows else F.element_at(F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in before]),
-                                                       F.col(shard) + 1), F.col(block) + 1) if shards * blocks <= 4096 else None
+    base = None
+    if not rows:
+        base = F.lit(0).cast("long")
+    elif shards * blocks <= LITERAL_BLOCKS:
+        literal = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in before])
+        base = F.element_at(F.element_at(literal, F.col(shard) + 1), F.col(block) + 1)
     if base is None:
         starts = spark.createDataFrame([(s, b, x) for s, row in enumerate(before) for b, x in enumerate(row)],
                                        f"`{shard}` int, `{block}` int, `{slot}` long")
