@@ -222,3 +222,29 @@ def test_nested_branches_stay_in_order(spark):
     assert [r["turn"] for r in rows] == [0, 1, 2, 3, 4, 5]
     place = {r["turn"]: i for i, r in enumerate(rows)}
     assert all(place[r["reply_turn"]] < place[r["turn"]] for r in rows if r["reply_turn"] is not None)
+
+
+def test_language_model_knows_what_only_long_documents_hold(spark):
+    """Two words alternate in long documents alone: their order must tell, among very many short ones."""
+    rng = np.random.default_rng(8)
+    common = "the of and to in is was for on with".split()
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(i, " ".join(rng.choice(common, 12))) for i in ids[:600]]
+    rows += [(i, "water house " * 2000) for i in ids[600:606]]
+    out = [i for i in range(3000) if i not in set(ids)][:2]
+    rows += [(out[0], "water house " * 60), (out[1], "water " * 60 + "house " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, public_tokenizers.path("word_bpe_49k.json")).where("held_out").collect()}
+    assert got[out[0]] > got[out[1]] + 20
+
+
+def test_language_model_fits_more_windows_on_more_tokens(spark, docs, monkeypatch):
+    path, drawn = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(lm_score, "TOKENS_A_WINDOW", 16)
+    summed = lm_score._summed
+    monkeypatch.setattr(lm_score, "_summed", lambda *a: drawn.append(summed(*a)) or drawn[-1])
+    got = lm_score.score(docs, path, fit_docs=1)
+    tokens = drawn[1].sum()
+    assert all(r["score"] < 0 for r in got.collect())
+    later = sum(x[-1] for x in drawn[2:])
+    assert len(drawn) == 2 + lm_score.ROUNDS and abs(later + lm_score.FIRST_WINDOWS - tokens / 16) < 20
