@@ -248,3 +248,18 @@ def test_language_model_fits_more_windows_on_more_tokens(spark, docs, monkeypatc
     assert all(r["score"] < 0 for r in got.collect())
     later = sum(x[-1] for x in drawn[2:])
     assert len(drawn) == 2 + lm_score.ROUNDS and abs(later + lm_score.FIRST_WINDOWS - tokens / 16) < 20
+
+
+def test_short_lines_link_in_their_conversation_and_paragraphs_link(spark):
+    letter = "The first paragraph of a long letter.\n\nThe second one is here,\nand goes on a little.\n\nThe third one ends it."
+    said = [
+        (1, 0, "We could wait.\nWhy not?\nI shall ask somebody else about it."), (1, 1, "Something in between those two."),
+        (1, 2, "> Why not?\nBecause of the rain."), (2, 0, letter), (2, 1, "Another one that nobody quotes."),
+        (2, 2, "> The second one\n> is here, and goes on\n> a little.\n>\n> The third\n> one ends it.\nThank you."),
+        (3, 0, "Nothing of the kind in here."), (3, 1, "> Why not?\nThis is another conversation."),
+        (4, 0, "Hello,\nthe long line that is quoted later"), (4, 1, "Hello,\nsomething else altogether"),
+        (4, 2, "> Hello,\n> the long line that is quoted later\n> and something unknown\nYes.")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in said], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["n_linked"]) for r in quote_links.link(df).collect()}
+    assert got[1, 2] == (1, 0, 1) and got[2, 2] == (2, 0, 1)
+    assert got[3, 1] == (3, 0, 0) and got[4, 2] == (4, 0, 1)

@@ -4,7 +4,8 @@ A line's quote level is the number of `>` in its leading run of `>` and blanks;
 lines of one level are a passage. Passages are normalised (markers off, lower case, white space
 runs to one blank), hashed (SHA-256) and joined to the units of original messages: whole
 bodies, paragraphs and lines, each without their own quotes. A passage that isn't found whole
-is looked up line by line. Within a conversation the latest earlier message that has the unit
+is looked up by paragraphs, then by lines; parts of under LEAST_UNIT characters come last, and are
+looked up in their own conversation only, as in others they would link by chance. Within a conversation the latest earlier message that has the unit
 is meant; else the first message of all that has it. So a hash has one row on the original
 side, and a unit that very many messages share emits no pairs.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 RANGE = 4096
-#: Shorter lines are no units of their own: they would link by chance.
+#: Shorter paragraphs and lines link within their conversation only: elsewhere they would by chance.
 LEAST_UNIT = 12
 # Attribution lines in mail and forum quoting.
 ATTRIBUTION = r"(?i)^\s*(on .{1,200} wrote|le .{1,200} a écrit|am .{1,200} schrieb.{0,100}|el .{1,200} escribió)\s*:\s*$"
@@ -74,11 +75,21 @@ def body(text: Column) -> Column:
     return F.trim(F.array_join(own, "\n"))
 
 
+def _keyed(parts: Column, whole: Column) -> Column:
+    """array<struct<k, wide>> of the parts that aren't blank; wide ones may link to other conversations."""
+    said = F.filter(parts, lambda x: F.length(normalised(x)) > 0)
+    return F.transform(said, lambda x: F.struct(key(x).alias("k"), ((F.length(normalised(x)) >= LEAST_UNIT) | (x == whole)).alias("wide")))
+
+
 def units(text: Column) -> Column:
     """Distinct keys of a body: the whole, its paragraphs, its lines."""
-    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"))
-    long = F.filter(parts, lambda x: (F.length(normalised(x)) >= LEAST_UNIT) | ((x == text) & (F.length(normalised(x)) > 0)))
-    return F.array_distinct(F.transform(long, key))
+    return F.array_distinct(_keyed(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n")), text))
+
+
+def parts(text: Column) -> Column:
+    """Distinct keys of a passage in the order they are looked up: the whole, long paragraphs, long lines, short ones."""
+    found = _keyed(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n")), text)
+    return F.array_distinct(F.concat(F.filter(found, lambda x: x["wide"]), F.filter(found, lambda x: ~x["wide"])))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -94,25 +105,24 @@ def parse(messages: DataFrame) -> DataFrame:
 def _links(parsed: DataFrame) -> DataFrame:
     """tie, at (passage number), level, to_conv, to_turn: the message each found passage quotes."""
     asked = parsed.where(F.size("quotes") > 0).select("tie", "conv_id", "turn", F.posexplode("quotes").alias("at", "p"))
-    lines = F.filter(F.split("p.text", "\n"), lambda x: F.length(normalised(x)) >= LEAST_UNIT)
-    asked = asked.select("tie", "conv_id", "turn", "at", "p.level", F.posexplode(
-        F.concat(F.array(key(F.col("p.text"))), F.transform(lines, key))).alias("part", "k"))
+    asked = asked.select("tie", "conv_id", "turn", "at", "p.level", F.posexplode(parts(F.col("p.text"))).alias("part", "x"))
+    asked = asked.select("tie", "conv_id", "turn", "at", "level", "part", "x.k", "x.wide")
     asked = stored(asked, "quotes-asked")
-    have = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(units(F.col("body"))).alias("k"))
+    have = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(units(F.col("body"))).alias("x")).select("conv_id", "turn", "x.k", "x.wide")
     have = have.join(asked.select("k").distinct(), "k", "left_semi")
     have = stored(have.distinct(), "quotes-have")
     # In the conversation: the latest earlier turn, by one sorted pass over (conv_id, k).
-    both = asked.select("conv_id", "k", "turn", "tie", "at", "level", "part").unionByName(
+    both = asked.select("conv_id", "k", "turn", "tie", "at", "level", "part", "wide").unionByName(
         have.select("conv_id", "k", "turn"), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "k").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.max(F.when(F.col("tie").isNull(), F.col("turn"))).over(before)).where("tie IS NOT NULL")
-    first = have.groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = have.where("wide").groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     found = near.join(first, "k", "left").select(
         "tie", "at", "level", "part",
         F.when(F.col("near").isNotNull(), F.struct("conv_id", F.col("near").alias("turn"))).when(
-            ~F.coalesce((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn")), F.lit(False)),
+            F.col("wide") & ~F.coalesce((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn")), F.lit(False)),
             F.col("first")).alias("to"))
-    # The whole passage before its lines.
+    # The whole passage before its parts.
     best = found.where("to IS NOT NULL").groupBy("tie", "at", "level").agg(F.min_by("to", "part").alias("to"))
     return best.select("tie", "at", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
 
