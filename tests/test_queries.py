@@ -55,3 +55,11 @@ def test_nothing_else_imports_them():
     for p in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert "llm" not in p.read_text()
+
+
+def test_whole_tables_and_arrays(spark, duck, sf_dir):
+    count = lambda sql: duck.sql(sql).fetchall()[0][0]
+    assert QUERIES["addfields_chain_whole"](spark, sf_dir).count() == count("SELECT count(*) FROM lineitem")
+    assert QUERIES["unwind_whole"](spark, sf_dir).count() == count("SELECT sum(len(embedding)) FROM embeddings")
+    pairs = QUERIES["zip_sum_arrays_whole"](spark, sf_dir).selectExpr("sum(size(s))").first()[0]
+    assert pairs == count("SELECT sum(len(embedding) - 1) FROM embeddings")

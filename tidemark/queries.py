@@ -205,6 +205,11 @@ def unwind(spark, sf):
     return pipe(spark, sf, "embeddings", [{"$project": {"vec_id": 1, "x": {"$slice": ["$embedding", 3]}}}, {"$unwind": "$x"}])
 
 
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+def unwind_whole(spark, sf):
+    return pipe(spark, sf, "embeddings", [{"$project": {"vec_id": 1, "x": "$embedding"}}, {"$unwind": "$x"}])
+
+
 @query("""SELECT o_orderkey, unnest(CASE WHEN o_totalprice > 200000 THEN ['a', 'b'] ELSE [NULL] END) AS tag FROM orders""")
 def unwind_preserve(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.array(F.lit("a"), F.lit("b"))).alias("tag"))
@@ -239,6 +244,15 @@ def zip_sum_arrays(spark, sf):
         {"$sum": [{"$arrayElemAt": ["$$p", 0]}, {"$arrayElemAt": ["$$p", 1]}]}, 6]}}}}}])
 
 
+@query("""SELECT vec_id, list_transform(range(1, len(embedding)), lambda i: round(CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 1] AS DOUBLE), 6)) AS s
+          FROM embeddings""")
+def zip_sum_arrays_whole(spark, sf):
+    pairs = {"$zip": {"inputs": ["$d", {"$slice": ["$d", 1, {"$size": "$d"}]}]}}
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("d"))
+    return Pipeline().run(df, [{"$project": {"vec_id": 1, "s": {"$map": {"input": pairs, "as": "p", "in": {"$round": [
+        {"$sum": [{"$arrayElemAt": ["$$p", 0]}, {"$arrayElemAt": ["$$p", 1]}]}, 6]}}}}}])
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS n FROM embeddings")
 def reduce_array(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("d"))
@@ -256,6 +270,15 @@ def addfields_chain(spark, sf):
         {"$project": {"l_orderkey": 1, "l_linenumber": 1, "net": 1, "gross": 1}}])
 
 
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net,
+          round(round(l_extendedprice * (1 - l_discount), 6) * (1 + l_tax), 6) AS gross FROM lineitem""")
+def addfields_chain_whole(spark, sf):
+    return pipe(spark, sf, "lineitem", [
+        {"$addFields": {"net": {"$round": [{"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, 6]}}},
+        {"$addFields": {"gross": {"$round": [{"$multiply": ["$net", {"$add": [1, "$l_tax"]}]}, 6]}}},
+        {"$project": {"l_orderkey": 1, "l_linenumber": 1, "net": 1, "gross": 1}}])
+
+
 @query("SELECT r_regionkey FROM region ORDER BY r_name")
 def exclusion_then_sort(spark, sf):
     return pipe(spark, sf, "region", [{"$sort": {"r_name": 1}}, {"$project": {"r_name": 0}}])
