@@ -1,5 +1,7 @@
 """Decontamination, SimHash, sharding and BPE against brute force, with odd rows, repeated rows and empty tables."""
 
+import random
+import math
 import hashlib
 import re
 import zlib
@@ -238,3 +240,26 @@ def test_decoding_in_the_same_pass(docs):
     both = bpe_codec.encode(docs, path, decoded="said")
     assert both.columns == [*docs.columns, "ids", "said"]
     assert bpe_codec.decode(both, path).where("NOT (decoded <=> said)").count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_simhash_links_connect_all_within_the_radius(spark, radius):
+    rng = random.Random(radius)
+    prints = {2, 3, 4, 6, -1, -(2**63)}
+    for _ in range(12):
+        x = rng.getrandbits(63)
+        prints |= {x, x ^ 7, x ^ (1 << 62), x ^ 0b1010000}
+    prints = sorted(prints)
+    got = simhash_ball.links(spark.createDataFrame([(x,) for x in prints], "fp long"), radius).collect()
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(apart(r["a"], r["b"]) <= radius for r in got)
+    root = {x: x for x in prints}
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        root[up(r["a"])] = up(r["b"])
+    assert all(up(a) == up(b) for a in prints for b in prints if apart(a, b) <= radius)

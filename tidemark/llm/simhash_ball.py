@@ -6,7 +6,8 @@ are brought together by variant. Any two members of a variant's group differ in
 bits, and a group has at most as many members as the ball has variants (65), whatever the
 data: all copies of a text are one fingerprint, so no group grows with them. Members are
 chained in sorted order, which links the group without emitting all its pairs; links are
-deduplicated and verified by bit count, and alternating star contraction gives the components.
+deduplicated and verified by bit count (at an odd radius, which no ball halves, all pairs that share
+a variant of the lower half's ball and of the upper half's are verified instead), and alternating star contraction gives the components.
 
 Defined cases: A-Z are lower-cased; words are runs of other than ASCII white space; a text of
 fewer words than the shingle is one shingle; a text without words, null or empty has
@@ -58,17 +59,27 @@ def with_fingerprint(docs: DataFrame, into: str, text: str = "text", shingle: in
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) of distinct fingerprints `fp` at `radius` or fewer bits, enough of them to connect all that are."""
     if radius not in (0, 1, 2, 3):
-        raise ValueError("radius 0 to 3: the ball of half the radius has 1 or 65 variants")
-    half = (radius + 1) // 2
-    flips = [0] + [(1 << k) - (1 << 64 if k == 63 else 0) for k in range(64)] * (half > 0)
-    ball = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
-    met = prints.select("fp", ball.alias("variant"))
-    inside = Window.partitionBy("variant").orderBy("fp")
-    pairs = met.select("fp", F.lag("fp").over(inside).alias("other")).where("other IS NOT NULL")
-    pairs = pairs.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
+        raise ValueError("radius 0 to 3: balls of half the radius have 1, 65 or 2081 variants")
+    if radius % 2:
+        # A chain of a group's members would hold links of one bit too many, and lack others: all
+        # pairs are met, the ball of the lower half on one side and that of the upper on the other.
+        near, far = _ball(prints, radius // 2, "a"), _ball(prints, radius - radius // 2, "b")
+        pairs = near.join(far, "variant").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        inside = Window.partitionBy("variant").orderBy("fp")
+        pairs = _ball(prints, radius // 2, "fp").select("fp", F.lag("fp").over(inside).alias("other")).where("other IS NOT NULL")
+        pairs = pairs.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _ball(prints: DataFrame, radius: int, name: str) -> DataFrame:
+    """`fp` as `name`, and each variant of it within `radius` bits, 0 to 2."""
+    one = [(1 << k) - (1 << 64 if k == 63 else 0) for k in range(64)]
+    flips = [0] + one * (radius > 0) + [x ^ y for i, x in enumerate(one) for y in one[:i]] * (radius > 1)
+    ball = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
+    return prints.select("fp", ball.alias("variant")).withColumnRenamed("fp", name)
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42,
             radius: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, fp (signed long), component_id."""
