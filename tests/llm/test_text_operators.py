@@ -263,3 +263,13 @@ def test_simhash_links_connect_all_within_the_radius(spark, radius):
     for r in got:
         root[up(r["a"])] = up(r["b"])
     assert all(up(a) == up(b) for a in prints for b in prints if apart(a, b) <= radius)
+
+
+def test_sharding_draws_beyond_the_library_follow_the_law():
+    rng = np.random.default_rng(1)
+    each = 10**9 // 16 + 1
+    none = np.mean([sharding._hypergeometric(rng, each, 15 * each, 10) == 0 for _ in range(4000)])
+    assert abs(none - (15 / 16) ** 10) < 0.03
+    got = np.bincount([sharding._inverted(rng, 7, 5, 6) for _ in range(20_000)], minlength=7) / 20_000
+    assert np.allclose(got, [math.comb(7, k) * math.comb(5, 6 - k) / math.comb(12, 6) for k in range(7)], atol=0.015)
+    assert sharding._inverted(rng, 10**10, 0, 10**9) == 10**9
