@@ -49,6 +49,15 @@ def test_decontamination(spark, texts, docs, no_docs, block_bytes):
     assert decontaminate.find(docs, bench.limit(0), "hits").where(decontaminate.contaminated(F.col("hits"))).count() == 0
 
 
+def test_a_passage_in_a_long_document_is_enough(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    rest = " ".join(f"w{i}" for i in range(600))
+    docs = spark.createDataFrame([(1, f"{rest} {passage} {rest}"), (2, rest), (3, passage.rsplit(" ", 1)[0]), (4, None), (5, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", passage)], "item_id string, text string")
+    left = lambda twentieths: {r["doc_id"] for r in decontaminate.remove_documents(docs, bench, twentieths).collect()}
+    assert left(0) == {2, 3, 4, 5} and left(1) == {1, 2, 3, 4, 5}
+
+
 def test_removal(spark, docs):
     bench = spark.createDataFrame([(1, "Zwei Wörter")], "item_id long, text string")
     kept = decontaminate.remove_documents(docs, bench)

@@ -179,14 +179,14 @@ def hit_words(found: Column) -> Column:
 
 
 def contaminated(found: Column, twentieths: int = 1) -> Column:
-    """At least `twentieths` of 20 words are hit, and at least one."""
+    """At least `twentieths` of 20 words are hit, and at least one; 0 means any hit."""
     return (hit_words(found) > 0) & (20 * hit_words(found) >= twentieths * found["n_words"])
 
 
-def remove_documents(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """`docs` without the contaminated ones; same columns."""
+def remove_documents(docs: DataFrame, bench: DataFrame, twentieths: int = 1, **options) -> DataFrame:
+    """`docs` without those that are contaminated by `twentieths`; same columns."""
     into = free_name(docs, "found")
-    return find(docs, bench, into, **options).where(~contaminated(F.col(into))).drop(into)
+    return find(docs, bench, into, **options).where(~contaminated(F.col(into), twentieths)).drop(into)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
