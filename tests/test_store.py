@@ -4,6 +4,7 @@ import pytest
 
 from tidemark.api import Api
 from tidemark.operators.paths import QueryError, normalised_regex
+from tidemark.operators.pipeline import Pipeline
 from tidemark.operators.predicates import compile_filter
 from tidemark.sources.finders import Finders, exclude_fields
 from tidemark.sources.store import CollectionError, Store
@@ -60,6 +61,41 @@ def test_write(store):
         store.insert_one("c", {"_id": ids[0], "name": "twice"})
 
 
+def test_replacing_leaves_rows_without_id(store, spark):
+    store.insert_frame("c", spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "_id string, n long"))
+    assert store.replace_one("c", {"n": 1}, {"n": 9})["modified"] == 1
+    assert sorted(r["n"] for r in store.read("c").collect()) == [2, 3, 9]
+    with pytest.raises(QueryError):
+        store.replace_one("c", {"n": 2}, {"n": 5})
+
+
+def test_upserts_take_each_operator_or_raise(store):
+    store.insert_many("c", [{"name": "p", "n": 1, "m": 1, "tags": ["a"]}])
+    store.update_many("c", {"name": "q"}, {"$max": {"n": 7}, "$mul": {"m": 3}, "$push": {"tags": "b"}}, upsert=True)
+    assert store.find("c", {"name": "q"}, {"n": 1, "m": 1, "tags": 1, "_id": 0}) == [{"n": 7, "m": 0, "tags": ["b"]}]
+    with pytest.raises(QueryError):
+        store.update_many("c", {"name": "r"}, {"$rename": {"n": "k"}}, upsert=True)
+
+
+def test_merge_refuses_what_it_does_not_do(store):
+    store.insert_many("c", [{"k": 1}])
+    with pytest.raises(QueryError):
+        store.aggregate("c", [{"$merge": {"into": "d", "whenMatched": "fail"}}])
+    store.aggregate("c", [{"$merge": {"into": "d", "on": "_id", "whenMatched": "replace", "whenNotMatched": "insert"}}])
+    assert store.count("d") == 1
+
+
+def test_expressions_and_accumulators(spark):
+    df = spark.createDataFrame([(1, 2.5, [1], "x", (1, None)), (1, None, [2], None, (None, 2)), (2, 3.5, None, "y", None)],
+                               "k long, d double, a array<long>, s string, o struct<p: long, q: long>")
+    run = lambda *stages: [r.asDict(True) for r in Pipeline().run(df, list(stages)).collect()]
+    assert run({"$project": {"r": {"$round": ["$d", 0]}, "a": {"$isArray": "$a"}, "b": {"$isArray": "$d"}}}) == [
+        {"r": 2.0, "a": True, "b": False}, {"r": None, "a": True, "b": False}, {"r": 4.0, "a": False, "b": False}]
+    got = run({"$sort": {"d": 1}}, {"$addFields": {"t": "$s"}}, {"$project": {"k": 1, "d": 1, "t": 1, "o": 1}}, {"$match": {"k": 1}}, {"$group": {
+        "_id": "$k", "all": {"$push": "$t"}, "set": {"$addToSet": "$t"}, "first": {"$first": "$d"}, "o": {"$mergeObjects": "$o"}}})
+    assert got == [{"_id": 1, "all": [None, "x"], "set": ["x", None], "first": None, "o": {"p": 1, "q": 2}}]
+
+
 def test_array_updates(store):
     store.insert_many("c", [{"name": "p", "tags": ["a", "b"]}])
     store.update_many("c", {}, {"$push": {"tags": "b"}})

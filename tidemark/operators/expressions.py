@@ -21,7 +21,7 @@ def _double(c: Column) -> Column:
 _UNARY: dict[str, Callable[[Column], Column]] = {
     "$abs": F.abs, "$ceil": F.ceil, "$floor": F.floor, "$exp": lambda c: F.exp(_double(c)), "$ln": lambda c: F.ln(_double(c)),
     "$log10": lambda c: F.log10(_double(c)), "$sqrt": lambda c: F.sqrt(_double(c)), "$not": lambda c: ~F.coalesce(c.cast("boolean"), F.lit(False)),
-    "$size": F.size, "$isArray": lambda c: c.isNotNull(), "$toLower": lambda c: F.lower(F.coalesce(c, F.lit(""))),
+    "$size": F.size, "$isArray": lambda c: c.isNotNull() & F.typeof(c).startswith("array<"), "$toLower": lambda c: F.lower(F.coalesce(c, F.lit(""))),
     "$toUpper": lambda c: F.upper(F.coalesce(c, F.lit(""))), "$strLenCP": F.char_length, "$toInt": lambda c: c.try_cast("int"),
     "$toLong": lambda c: c.try_cast("long"), "$toDouble": lambda c: c.try_cast("double"), "$toString": lambda c: c.cast("string"),
     "$toDate": lambda c: c.try_cast("timestamp"), "$toBool": lambda c: c.try_cast("boolean"), "$reverseArray": F.reverse,
@@ -138,7 +138,8 @@ class Expressions:
         return F.array_max(self.compile(v)) if many is None else F.greatest(*many)
 
     def _round(self, v, many):
-        return F.round(many[0], v[1] if len(v) > 1 else 0) if many else F.round(self.compile(v))
+        """Half to even."""
+        return F.bround(many[0], v[1] if len(v) > 1 else 0) if many else F.bround(self.compile(v))
 
     def _concat(self, v, many):
         return F.concat(*[x.cast("string") for x in many])

@@ -40,20 +40,32 @@ def accumulator(df: DataFrame, spec: dict[str, Any]) -> Column:
         x = e.compile(v["input"])
         return F.percentile(x, 0.5) if op == "$median" else F.percentile(x, F.array(*[F.lit(p) for p in v["p"]]))
     c = e.compile(v)
+    boxed, unboxed = F.struct(c.alias("x")), lambda a: F.transform(a, lambda s: s["x"])  # collecting drops bare nulls
     kinds: dict[str, Callable[[], Column]] = {
         "$sum": lambda: F.coalesce(F.sum(numeric(df, c)), F.lit(0)), "$avg": lambda: F.avg(numeric(df, c)),
         "$min": lambda: F.min(c), "$max": lambda: F.max(c),
-        "$first": lambda: F.first(c), "$last": lambda: F.last(c), "$push": lambda: F.collect_list(c),
+        "$first": lambda: F.first(c), "$last": lambda: F.last(c), "$push": lambda: unboxed(F.collect_list(boxed)),
         # Sorted, so that equal inputs give equal results.
-        "$addToSet": lambda: F.array_sort(F.collect_set(c)),
+        "$addToSet": lambda: F.array_sort(unboxed(F.collect_set(boxed))),
         "$stdDevPop": lambda: F.stddev_pop(numeric(df, c)), "$stdDevSamp": lambda: F.stddev_samp(numeric(df, c)),
-        "$mergeObjects": lambda: F.last(c, ignorenulls=True),
+        "$mergeObjects": lambda: merged_objects(df, c),
     }
     if op not in kinds:
         raise QueryError(f"accumulator {op}")
     return kinds[op]()
 
 
+def merged_objects(df: DataFrame, c: Column) -> Column:
+    """Later documents' fields over earlier ones'; null and missing are one."""
+    kind = df.select(c.alias("x")).schema[0].dataType
+    if isinstance(kind, T.StructType):
+        return F.struct(*[F.last(c.getField(f.name), ignorenulls=True).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        over = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+        return F.aggregate(F.collect_list(c), F.create_map().cast(kind), over)
+    raise QueryError("$mergeObjects takes documents")
+
+
 def is_exclusion(projection: dict[str, Any]) -> bool:
     named = {k: v for k, v in projection.items() if k != "_id"}
     flat = [v for v in (named or projection).values()]
@@ -113,6 +125,16 @@ def sort_columns(spec: dict[str, int]) -> list[Column]:
     return [F.col(quoted(k)).asc_nulls_first() if v > 0 else F.col(quoted(k)).desc_nulls_last() for k, v in spec.items()]
 
 
+def keeps_order(op: str, v: Any, sorted_by: dict[str, int], after: DataFrame) -> bool:
+    """Whether the rows' order can still be told from the sort's keys after the stage."""
+    if op in ("$limit", "$skip", "$match"):
+        return True
+    if op not in ("$addFields", "$set", "$project", "$unset"):
+        return False
+    made = {k.split(".")[0] for k, x in v.items() if op != "$project" or isinstance(x, (dict, str, list))} if isinstance(v, dict) else set()
+    return all(k.split(".")[0] not in made and type_of(after.schema, k) is not None for k in sorted_by)
+
+
 class Pipeline:
     """Compiles stages; each takes a DataFrame and its dictionary's value."""
 
@@ -121,6 +143,7 @@ class Pipeline:
 
     def run(self, df: DataFrame, stages: list[dict[str, Any]]) -> DataFrame:
         ordered: list[Column] = []
+        sorted_by: dict[str, int] = {}
         for stage in stages:
             if len(stage) != 1:
                 raise QueryError(f"a stage has one operator: {sorted(stage)}")
@@ -133,7 +156,8 @@ class Pipeline:
                 df = self._ordered_group(df, v, ordered)
             else:
                 df = method(df, v)
-            ordered = sort_columns(v) if op == "$sort" else ordered if op in ("$limit", "$skip", "$match") else []
+            sorted_by = v if op == "$sort" else sorted_by if keeps_order(op, v, sorted_by, df) else {}
+            ordered = sort_columns(sorted_by)
         return df
 
     def _match(self, df, v):
@@ -344,7 +368,13 @@ class Pipeline:
         return self._write(df, v, "overwrite")
 
     def _merge(self, df, v):
-        return self._write(df, v if isinstance(v, str) else v["into"], "append")
+        """Rows of a known _id replace it, others are inserted; no other way is offered."""
+        spec = {"into": v} if isinstance(v, str) else v
+        offered = {"on": ("_id", ["_id"]), "whenMatched": ("replace",), "whenNotMatched": ("insert",)}
+        for k, x in spec.items():
+            if k != "into" and x not in offered.get(k, ()):
+                raise QueryError(f"$merge with {k}: {x!r}")
+        return self._write(df, spec["into"], "append")
 
     def _write(self, df, name, mode):
         if self.write is None:

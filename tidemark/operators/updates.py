@@ -78,3 +78,31 @@ def assignments(df: DataFrame, update: dict[str, Any], inserting: bool = False)
             else:
                 raise QueryError(f"update operator {op}")
     return out
+
+
+def inserted(start: dict[str, Any], update: dict[str, Any]) -> dict[str, Any]:
+    """The document that an update makes where none matched; `start` has the filter's equalities."""
+    out = dict(start)
+    for op, fields in update.items():
+        for path, v in fields.items():
+            now = out.get(path)
+            if op in ("$set", "$setOnInsert"):
+                out[path] = v
+            elif op == "$inc":
+                out[path] = (now or 0) + v
+            elif op == "$mul":
+                out[path] = (now or 0) * v
+            elif op in ("$min", "$max"):
+                out[path] = v if now is None else (min if op == "$min" else max)(now, v)
+            elif op in ("$push", "$addToSet"):
+                each = v["$each"] if isinstance(v, dict) and "$each" in v else [v]
+                old = list(now or [])
+                for x in each:
+                    if op == "$push" or x not in old:
+                        old.append(x)
+                out[path] = old
+            elif op == "$unset":
+                out.pop(path, None)
+            else:
+                raise QueryError(f"update operator {op} can't insert")
+    return out

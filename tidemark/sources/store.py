@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..operators.paths import QueryError, coerce, quoted, to_utc, type_of
 from ..operators.pipeline import Pipeline, project, sort_columns
 from ..operators.predicates import compile_filter
-from ..operators.updates import assignments
+from ..operators.updates import assignments, inserted
 
 DEFAULT_LIMIT = 5
 _INDICES, _OPTIONS = "tidemark.indices", "tidemark.options"
@@ -205,8 +205,7 @@ class Store:
         if counts["n"] == 0 and upsert:
             start = {k: v["$eq"] if isinstance(v, dict) and "$eq" in v else v for k, v in query.items()
                      if not k.startswith("$") and not (isinstance(v, dict) and "$eq" not in v)}
-            for op in ("$set", "$setOnInsert", "$inc"):
-                start |= update.get(op, {})
+            start = inserted(start, update)
             return {"matched": 0, "modified": 0, "upserted_id": self.insert_one(collection, start)}
         if counts["m"]:
             self._rewrite(collection, df.withColumns({
@@ -216,11 +215,14 @@ class Store:
     def replace_one(self, collection: str, query: dict, document: dict[str, Any], upsert: bool = False) -> dict[str, Any]:
         """The match of the smallest _id is replaced and keeps its _id."""
         df = self.read(collection)
-        one = df.where(compile_filter(df.schema, query)).agg(F.min("_id").alias("i")).first()["i"]
+        found = df.where(compile_filter(df.schema, query)).agg(F.min("_id").alias("i"), F.count("*").alias("n")).first()
+        one = found["i"]
+        if one is None and found["n"]:
+            raise QueryError("a row without _id can't be replaced")
         if one is None:
             return {"matched": 0, "modified": 0, "upserted_id": self.insert_one(collection, document) if upsert else None}
         row = self._frame([{k: coerce(v, type_of(df.schema, k)) for k, v in document.items()} | {"_id": one}], df.schema)
-        self._rewrite(collection, df.where(F.col("_id") != one).unionByName(row, allowMissingColumns=True))
+        self._rewrite(collection, df.where(~F.col("_id").eqNullSafe(one)).unionByName(row, allowMissingColumns=True))
         return {"matched": 1, "modified": 1, "upserted_id": None}
 
     def delete_many(self, collection: str, query: dict) -> int:
