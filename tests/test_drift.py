@@ -2,10 +2,11 @@
 
 import drift_data as D
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.paths import QueryError
 from tidemark.plans import drift
-from tidemark.plans.periods import Selection, Windows
+from tidemark.plans.periods import Selection, Windows, match, periods
 
 
 def analyse(spark, rows, images=(), days=7, task="cls", start=0, reference=(), now=100, detail="full", **selection):
@@ -72,8 +73,32 @@ def test_breaks(spark):
 def test_one_equipment(spark):
     r = analyse(spark, D.raw([0.93] * 4)[0], days=4, equipment_id="e1")
     assert r["dataQuality"]["predictionCount"] == 1200 and r["sitesSeen"]["equipmentIds"] == ["e1"]
-    missing = analyse(spark, D.raw([0.93] * 4)[0], days=4, equipment_id="e9")
-    assert len(missing["dataQuality"]["periodsMissingEquipment"]) == 4
+    rows = [x for x in D.raw([0.93] * 4)[0] if x[8] != "e1" or x[7] < D.day(3)]
+    assert len(analyse(spark, rows, days=4, equipment_id="e1")["dataQuality"]["periodsMissingEquipment"]) == 1
+    with pytest.raises(QueryError):  # no period has a document of it
+        analyse(spark, rows, days=4, equipment_id="e9")
+
+
+def test_a_filter_on_a_field_that_no_document_has_matches_none(spark):
+    docs = D.documents(spark, D.raw([0.93] * 2)[0], []).drop("mode")
+    windows = Windows.of(D.day(0), D.day(2))
+    assert match(docs, Selection("m", "1"), windows, "daily").count() == 2
+    assert match(docs, Selection("m", "1", mode="production"), windows, "daily").count() == 0
+
+
+def test_two_models_on_one_image(spark):
+    key = lambda v: ("m", v, "det", "production", "g", None, "p0")
+    box = lambda v: (*key(v), D.day(0), "e0", 1, "ok", 0.9, 0.8, 0.1, "a", 1)
+    docs = D.documents(spark, [box("1"), *[box("2")] * 4], [(*key(v), D.day(0), "e0", 1, 0.1, "a") for v in ("1", "2")], task="det")
+    sums = {r["modelVersion"]: r["total"]["images"]["boxesPerImage"]["sum"] for r in docs.collect()}
+    assert sums == {"1": 1, "2": 4}
+
+
+def test_an_empty_list_of_edges_counts_as_none(spark):
+    docs = D.documents(spark, D.raw([0.93], products=2)[0], [])
+    bare = docs.withColumn("bins", F.when(F.col("productId") == "p0", F.col("bins").withField("confidenceEdges", F.array().cast("array<double>"))).otherwise(F.col("bins")))
+    row = periods(match(bare, Selection("m", "1"), Windows.of(D.day(0), D.day(1)), "daily"), Selection("m", "1")).first()
+    assert row["edge_sets"] == 1 and sum(row["confidence"]["histogram"]) == 600
 
 
 def test_errors(spark):

@@ -301,7 +301,7 @@ def analyse(docs: DataFrame, selection: Selection, windows: Windows, granularity
 
 def _analysed(rows: DataFrame, selection, windows, granularity, detail, config, now) -> dict[str, Any]:
     brief = rows.select("window", "startDate", "documents", "tasks").collect()
-    if not brief:
+    if not any(r["documents"] for r in brief):
         raise QueryError("no statistics documents match")
     tasks = sorted({t for r in brief for t in r["tasks"] or [] if t})
     if selection.task is None and len(tasks) > 1:

@@ -89,8 +89,8 @@ def match(docs: DataFrame, selection: Selection, windows: Windows, granularity:
     query = {"modelName": selection.model_name, "modelVersion": selection.model_version, "mode": selection.mode, "gbm": selection.gbm,
              "process": selection.process, "productId": selection.product_id, "granularity": granularity}
     for name, value in query.items():
-        if value is not None and type_of(docs.schema, name) is not None:
-            test = test & (F.col(name) == F.lit(value))
+        if value is not None:  # a field that no document has matches none
+            test = test & (_field(docs, name) == F.lit(value))
     task = _field(docs, "task")
     test = test & (task == selection.task if selection.task else task.isin(*TASKS))
     return docs.where(test).withColumn("window", tag)
@@ -176,7 +176,7 @@ def merged(scalars: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == "class", F.struct("k", conf.alias("c")))))).alias("per_class"))
     out = one.join(maps, keys, "left").join(boxes, keys, "left")
     # Histograms of different edges can't be added: none, rather than a wrong one.
-    edges = F.array_distinct(F.transform("bins", lambda b: b["confidenceEdges"]))
+    edges = F.array_distinct(F.filter(F.transform("bins", lambda b: b["confidenceEdges"]), lambda e: F.size(e) > 0))
     out = out.withColumn("edges", F.get(edges, F.lit(0))).withColumn("edge_sets", F.size(edges))
     mixed = F.col("edge_sets") > 1
     return out.withColumn("confidence", F.when(mixed, F.col("confidence").withField("histogram", F.array().cast("array<bigint>")))

@@ -8,6 +8,7 @@ are sums of indicator columns: fixed state, hash aggregation, partial sums befor
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,8 +139,11 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
 
 def _with_images(blocks: DataFrame, images: DataFrame, boxes: DataFrame, by: list[str], granularity: str, bins: Bins) -> DataFrame:
     """Blocks of boxes with the counts of their images."""
-    per_image = boxes.groupBy("image").agg(F.count("*").alias("boxes"))
-    images = images.withColumn("startDate", period_start(F.col("ts"), granularity)).join(per_image, "image", "left")
+    # One image may be seen by several models, so its boxes are told apart by all keys; keys may be null.
+    whose = [c for c in by if c != "startDate"] + ["image"]
+    per_image = boxes.groupBy(*[F.col(c).alias(f"_{c}") for c in whose]).agg(F.count("*").alias("boxes"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in whose])
+    images = images.withColumn("startDate", period_start(F.col("ts"), granularity)).join(per_image, same, "left")
     images = images.withColumn("boxes", F.coalesce("boxes", F.lit(0)))
     at = F.least("boxes", F.lit(bins.boxes_max))
     made = images.groupingSets([[F.col(c) for c in [*by, "equipment"]], [F.col(c) for c in by]], *[F.col(c) for c in [*by, "equipment"]]).agg(
