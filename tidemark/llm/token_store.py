@@ -25,6 +25,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,11 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a batch of documents; a document's cuts depend on its ids alone."""
-    h = np.zeros(len(ids), np.uint64)
-    gear = _GEAR[ids & (len(_GEAR) - 1)]
-    for k in range(min(WINDOW, len(ids))):
-        h[k:] += gear[: len(ids) - k] << np.uint64(k)
+    h, reach = _GEAR[ids & (len(_GEAR) - 1)], 1
+    while reach < WINDOW:  # the sum over 2 * reach ids from that over reach; WINDOW is a power of two
+        wider = h.copy()
+        wider[reach:] += h[:-reach] << np.uint64(reach)
+        h, reach = wider, 2 * reach
     # Bits under the window's reach mix all WINDOW ids only from bit WINDOW - 1 on.
     hit = np.flatnonzero((h >> np.uint64(WINDOW)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
     doc = np.searchsorted(offsets, hit - 1, "right") - 1
@@ -84,7 +86,7 @@ def _library_pieces(path: str):
         words = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
         ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), np.concatenate([[0], np.cumsum(counts)])
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.concatenate([[0], np.cumsum(counts)])
 
     return encode
 
@@ -92,6 +94,11 @@ def _library_pieces(path: str):
 _WORKER: dict[str, bpe_codec.BatchEncoder] = {}
 
 
+def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """The pieces of `data` between bounds, without an object for each."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
 def chunked(docs: DataFrame, path: str, text: str = "text", into: str = "chunked", end_id: int = 0) -> DataFrame:
     """`docs` and the struct CHUNKED of each text's ids with `end_id` after them, as column `into`."""
 
@@ -106,17 +113,18 @@ def chunked(docs: DataFrame, path: str, text: str = "text", into: str = "chunked
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
                 ends = cut_points(ids, offsets)
-                first = np.searchsorted(ends, offsets[:-1], "right")
-                last = np.searchsorted(ends, offsets[1:], "right")
+                # Every document ends in its end id, so its chunks follow those of the one before.
+                parts = np.concatenate([[0], np.searchsorted(ends, offsets[1:], "right")]).astype(np.int32)
                 data, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
-                starts = np.concatenate([[0], ends[:-1]])
-                payloads = [data[s * size : e * size] for s, e in zip(starts.tolist(), ends.tolist())]
-                digests, counts = [digest(p) for p in payloads], (ends - starts).tolist()
-                rows = [{"n_tokens": int(n), "digests": digests[a:b], "counts": counts[a:b], "payloads": payloads[a:b],
-                         "root": merkle(digests[a:b])} for a, b, n in zip(first.tolist(), last.tolist(), np.diff(offsets).tolist())]
-                found = pa.array(rows, pa.struct([
-                    ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())),
-                    ("payloads", pa.list_(pa.binary())), ("root", pa.binary())]))
+                bounds = np.concatenate([[0], ends * size]).astype(np.int32)
+                view, at = memoryview(data), bounds.tolist()
+                digests = [digest(view[a:b]) for a, b in zip(at, at[1:])]
+                roots = [merkle(digests[a:b]) for a, b in zip(parts[:-1].tolist(), parts[1:].tolist())]
+                listed = lambda values: pa.ListArray.from_arrays(pa.array(parts), values)
+                found = pa.StructArray.from_arrays([
+                    pa.array(np.diff(offsets), pa.int64()), listed(_binary(b"".join(digests), np.arange(len(digests) + 1) * 16)),
+                    listed(pa.array(np.diff(bounds) // size, pa.int32())), listed(_binary(data, bounds)),
+                    pa.array(roots, pa.binary())], ["n_tokens", "digests", "counts", "payloads", "root"])
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, into])
 
     return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField(into, CHUNKED)]))
