@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -96,6 +97,15 @@ def test_simhash_classes(spark, docs, no_docs):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(label.values()))
 
 
+@pytest.mark.parametrize("step", [7, 1 << 16])
+def test_fingerprints_in_steps(texts, monkeypatch, step):
+    monkeypatch.setattr(simhash_ball, "SHINGLES_A_STEP", step)
+    some = [t for t in texts if len(t or "") < 5000] + ["a\tb\r\n\x0bc  D", " lead", "trail ", "ab c", "a bc"]
+    made = simhash_ball.fingerprints(*textbuf.buffer_of(pa.array(some, pa.string())), 3, 42)
+    assert made.tolist() == [brute_print(t) for t in some]
+    assert not len(simhash_ball.fingerprints(*textbuf.buffer_of(pa.array([], pa.string())), 3, 42))
+
+
 def test_links_find_all_within_two_bits(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 20)

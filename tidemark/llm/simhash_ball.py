@@ -27,21 +27,43 @@ from pyspark.sql import types as T
 from . import components, textbuf
 from .shared import free_name, lean, stored
 
-_LOWER, _SPACE = textbuf.lowered().tobytes(), b" \t\n\x0b\x0c\r"
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """Bit set where over half the shingle hashes have it."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return 0
-    parts = words if shingle == 1 else map(b" ".join, zip(*(words[k:] for k in range(shingle)))) \
-        if len(words) >= shingle else [b" ".join(words)]
-    h = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], np.uint64)
-    by_byte = h.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+_LOWER, _WORD = textbuf.lowered(), textbuf.space_table()
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+#: Shingles whose hashes are held at once, however long a text is.
+SHINGLES_A_STEP = 1 << 16
+
+
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """Of each text, the bits that over half its shingles' hashes have; `raw` and `offsets` as textbuf gives them."""
+    raw = _LOWER[raw]
+    inside = _WORD[raw]
+    starts, ends = textbuf.runs(inside, offsets)
+    first = textbuf.owner(starts, offsets)
+    # The words again with one space after each, so that a shingle is one slice.
+    stop = np.cumsum(ends - starts + 1) - 1
+    start = stop - (ends - starts)
+    joined = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, np.uint8)
+    letters = np.ones(len(joined), bool)
+    letters[stop] = False
+    joined[letters] = raw[inside]
+    data = joined.tobytes()
+
+    words = np.diff(first)
+    width = np.minimum(words, shingle)
+    many = np.where(words > 0, words - width + 1, 0)
+    before = np.concatenate([[0], np.cumsum(many)])
+    ones = np.zeros((len(words), 64))
+    for lo in range(0, int(before[-1]), SHINGLES_A_STEP):
+        nth = np.arange(lo, min(lo + SHINGLES_A_STEP, int(before[-1])))
+        doc = np.searchsorted(before, nth, "right") - 1
+        word = first[doc] + nth - before[doc]
+        spans = zip(start[word].tolist(), stop[word + width[doc] - 1].tolist())
+        h = np.fromiter((xxhash.xxh64_intdigest(data[x:y], seed) for x, y in spans), np.uint64, len(nth))
+        by_byte, base, docs = h.view(np.uint8).reshape(-1, 8), (doc - doc[0]) * 256, int(doc[-1] - doc[0]) + 1
+        for k in range(8):
+            counts = np.bincount(base + by_byte[:, k], minlength=docs * 256).reshape(docs, 256)
+            ones[doc[0] : doc[0] + docs, 8 * k : 8 * k + 8] += counts @ _BITS
+    return np.packbits(2 * ones > many[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def with_fingerprint(docs: DataFrame, into: str, text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -50,8 +72,9 @@ def with_fingerprint(docs: DataFrame, into: str, text: str = "text", shingle: in
     def add(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in column], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, into])
+            for lo, hi in textbuf.slices(batch, text):
+                prints = fingerprints(*textbuf.buffer_of(column.slice(lo, hi - lo)), shingle, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(prints)], [*batch.schema.names, into])
 
     return docs.mapInArrow(lean(add), T.StructType([*docs.schema, T.StructField(into, T.LongType())]))
 
