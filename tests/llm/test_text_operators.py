@@ -230,6 +230,16 @@ def test_a_changed_chunk_is_noticed(spark, docs):
         token_store.verified(spark, folder).collect()
 
 
+def test_a_missing_chunk_is_noticed(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50))), (2, None), (3, "a b")], "doc_id long, text string")
+    folder = token_store.write(docs, token_store.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_store.verified(spark, folder).count() == 3
+    spark.read.parquet(f"{folder}/chunks").where("octet_length(payload) > 2").write.parquet(f"{folder}/other")
+    spark.read.parquet(f"{folder}/other").write.mode("overwrite").parquet(f"{folder}/chunks")
+    with pytest.raises(Exception, match="another size"):
+        token_store.verified(spark, folder).collect()
+
+
 def test_crc_parts():
     rng = np.random.default_rng(2)
     a, b = rng.bytes(1000), rng.bytes(12_345)

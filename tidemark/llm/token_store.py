@@ -293,7 +293,8 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "tie", "start", "n_tokens", "count")),
                                               pa.array(part.astype(np.int64))], ["doc_id", "tie", "start", "n_tokens", "count", "part"])
 
-    parts = refs.join(chunks, "digest").select("doc_id", "tie", "start", "n_tokens", "count", "n", "crc", "after").mapInArrow(
+    # A chunk that isn't there has no size, which `moved` refuses.
+    parts = refs.join(chunks, "digest", "left").select("doc_id", "tie", "start", "n_tokens", "count", "n", "crc", "after").mapInArrow(
         moved, "doc_id long, tie long, start long, n_tokens long, count int, part long")
     whole = parts.groupBy("start", "tie", "doc_id").agg(F.max("n_tokens").alias("stated"), F.sum("count").alias("n_tokens"),
                                                        F.bit_xor("part").alias("ids_crc32"))
