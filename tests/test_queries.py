@@ -51,6 +51,11 @@ def test_entry_without_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True)
 
 
+def test_entry_where_a_library_is_missing():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_nothing_else_imports_them():
     for p in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
