@@ -302,3 +302,22 @@ def test_sharding_draws_beyond_the_library_follow_the_law():
     got = np.bincount([sharding._inverted(rng, 7, 5, 6) for _ in range(20_000)], minlength=7) / 20_000
     assert np.allclose(got, [math.comb(7, k) * math.comb(5, 6 - k) / math.comb(12, 6) for k in range(7)], atol=0.015)
     assert sharding._inverted(rng, 10**10, 0, 10**9) == 10**9
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_told_apart_are_the_library_s(name, texts, monkeypatch):
+    monkeypatch.setattr(token_store, "WORDS_A_CALL", 3)
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    pieces = [" a", "a", " ", " the", " Über", " İa", " ab½", "'s", " é", " naïve", "\n", " 你", " x", "12", " s", "!!", " " + "z" * 5000, " lo"]
+    pieces += [" " + w for t in texts if t for w in t.split() if w.isascii() and w.isalpha()][:2000]
+    if name.startswith("word"):
+        pieces = [p.strip().lower() for p in pieces if p.strip().isascii()]
+    data = [p.encode() for p in pieces]
+    ends = np.cumsum([len(d) for d in data])
+    starts = ends - [len(d) for d in data]
+    encode = token_store._library_pieces(path)
+    for part in (slice(None), slice(0, 1), slice(1, 2), slice(0, 0)):
+        ids, offsets = encode(np.frombuffer(b"".join(data), np.uint8), starts[part], ends[part])
+        got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+        assert got == [library.encode(p, add_special_tokens=False).ids for p in pieces[part]]

@@ -38,6 +38,8 @@ from .shared import fresh_dir, lean
 
 WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 BLOCK_DOCS = 200_000
+WORDS_A_CALL = 256
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _GEAR = np.random.default_rng(50).integers(0, 2**63, 1 << 17, dtype=np.uint64)
 
 CHUNKED = T.StructType([
@@ -77,16 +79,42 @@ def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _library_pieces(path: str):
-    """Encodes different pieces with the tokenizers library."""
+    """Encodes different pieces with the tokenizers library.
+
+    Where the file keeps spaces, its pattern cuts before any space that stands between letters, so pieces of a
+    space and letters are given to it WORDS_A_CALL in one text; their ids are told apart by their bytes.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = bpe_codec.splitter(path).library
+    split = bpe_codec.splitter(path)
+    library = split.library
+    # A byte is one character of a byte-level token.
+    width = np.zeros(library.get_vocab_size(), np.int64)
+    for token, i in library.get_vocab().items():
+        width[i] = len(token)
+
+    def flat_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(raw, starts, ends):
+        size = ends - starts
+        word = np.zeros(len(starts), bool)
+        if split.keeps_space and len(starts):
+            word = (size > 1) & (raw[starts] == 0x20) & _LETTER[raw[np.minimum(starts + 1, len(raw) - 1)]]
+        many, one = np.flatnonzero(word), np.flatnonzero(~word)
         data = raw.tobytes()
-        words = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
-        ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.array(list(chain.from_iterable(ids)), np.int32), np.concatenate([[0], np.cumsum(counts)])
+        singles, single_counts = flat_ids([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[one].tolist(), ends[one].tolist())])
+        stop = np.cumsum(size[many])
+        data = raw[textbuf.spread(starts[many], size[many])].tobytes()
+        bounds = [0, *stop[WORDS_A_CALL - 1 :: WORDS_A_CALL].tolist()]
+        bounds += [len(data)] if bounds[-1] < len(data) else []
+        words, _ = flat_ids([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])])
+        last = np.searchsorted(np.cumsum(width[words]), stop) + 1
+        counts = np.empty(len(starts), np.int64)
+        counts[many], counts[one] = np.diff(last, prepend=0), single_counts
+        at = np.empty(len(starts), np.int64)
+        at[many], at[one] = last - counts[many], len(words) + np.cumsum(single_counts) - single_counts
+        return np.concatenate([words, singles])[textbuf.spread(at, counts)], np.concatenate([[0], np.cumsum(counts)])
 
     return encode
 
