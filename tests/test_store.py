@@ -177,3 +177,19 @@ def test_filters_reach_the_scan(spark, sf_dir):
     plan = df.where(compile_filter(df.schema, {"o_orderkey": {"$gte": 10}, "o_orderstatus": "F"})).select("o_orderkey")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "o_totalprice" not in text
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.session import LOCAL_CHECKPOINTS, shared_dir
+
+    def session(master, named=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named}),
+                               conf=SimpleNamespace(get=lambda key, default: default))
+
+    assert shared_dir(session("local[8]")) == shared_dir(session("local")) == LOCAL_CHECKPOINTS
+    assert shared_dir(session("spark://host:7077", "hdfs://nn/shared/")) == "hdfs://nn/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))

@@ -43,8 +43,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from `spark.checkpoint.dir`."""
+    """The folder that driver and executors share, from `spark.checkpoint.dir`; only a session on one machine may name none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
