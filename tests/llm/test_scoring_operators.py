@@ -250,6 +250,40 @@ def test_language_model_fits_more_windows_on_more_tokens(spark, docs, monkeypatc
     assert len(drawn) == 2 + lm_score.ROUNDS and abs(later + lm_score.FIRST_WINDOWS - tokens / 16) < 20
 
 
+def test_language_model_exchanges_words_packed(spark):
+    """All exchanges together, by the different words of a block: 43 bytes when they came back a row each."""
+    rng = np.random.default_rng(4)
+    made = ["".join(x) for x in rng.choice(list("etaoinshrdlu"), (40_000, 7))]
+    rows = [(i, " ".join(rng.choice(made, 400))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    ran = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = ran()
+    assert lm_score.score(df, public_tokenizers.path("word_bpe_49k.json")).count() == len(rows)
+    words = sum(len({w for i in part for w in i.text.split()}) for part in df.rdd.glom().collect())
+    assert (ran() - before) / words < 32
+
+
+def test_language_model_unpacks_the_words_it_packs():
+    rng = np.random.default_rng(6)
+    block, at = np.repeat([3, 70, 71], [400, 1, 300]), np.concatenate([rng.permutation(90_000)[:400], [0], rng.permutation(300)])
+    c, lens = rng.integers(0, 1 << 40, 701), rng.integers(0, 400, 701)
+    subwords = rng.integers(0, 1 << 16, lens.sum()).astype("<u2")
+    cells, got = np.split(subwords, np.cumsum(lens)[:-1]), {}
+    for some in np.array_split(rng.permutation(701), 3):
+        place = (block[some].astype(np.int64) << lm_score.AT_BITS) + at[some]
+        for b, packed in lm_score._pack_words(place, c[some], lens[some], np.concatenate([cells[i] for i in some])):
+            got.setdefault(b, []).append(packed)
+    assert sorted(got) == [3, 70, 71]
+    for b, packed in got.items():
+        own = np.flatnonzero(block == b)
+        own = own[np.argsort(at[own])]
+        x, n, flat = lm_score._unpack_words(packed, "<u2")
+        assert x.tolist() == c[own].tolist() and n.tolist() == lens[own].tolist()
+        assert flat.tolist() == np.concatenate([cells[i] for i in own]).tolist()
+    assert [len(x) for x in lm_score._unpack_words([], "<u2")] == [0, 0, 0]
+
+
 def test_short_lines_link_in_their_conversation_and_paragraphs_link(spark):
     letter = "The first paragraph of a long letter.\n\nThe second one is here,\nand goes on a little.\n\nThe third one ends it."
     said = [
