@@ -185,10 +185,3 @@ def delta(before: Column, after: Column) -> Column:
 
 def ratio(before: Column, after: Column) -> Column:
     return F.try_divide(after, F.when(before != 0, before))
-
-
-def quantile_struct(value: Column) -> Column:
-    """p05 to p95, linear between order statistics."""
-    names = [5, 10, 25, 50, 75, 90, 95]
-    p = F.percentile(value, F.array(*[F.lit(n / 100) for n in names]))
-    return F.struct(*[F.get(p, F.lit(i)).alias(f"p{n:02d}") for i, n in enumerate(names)])

@@ -1,8 +1,9 @@
 """Raw predictions to per-period statistics documents.
 
-One pass with grouping sets makes the blocks of classes and of totals, of each equipment and of
-all, so exact quantiles are right at every level and nothing is merged that can't be. Histograms
-are sums of indicator columns: fixed state, hash aggregation, partial sums before the shuffle.
+One hash aggregation of fixed state makes cells of (equipment, class); the blocks of classes and of
+totals, of each equipment and of all, are these added up. What can't be added is made at every level
+from the rows: exact quantiles from counts of each value in order, inspections by counting different
+ones. Histograms are sums of indicator columns.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -39,21 +40,9 @@ class Bins:
     boxes_max: int = 5
 
 
-def confidence_block(bins: Bins) -> list[Column]:
-    """Aggregates over columns `confidence` (double or null) and `threshold`."""
-    c, t = F.col("confidence"), F.col("threshold")
-    at = stats.bin_index_of(c, list(bins.edges))
-    n = len(bins.edges) - 1
-    hist = F.array(*[F.count_if(c.isNotNull() & (at == i)) for i in range(n)])
-    any_threshold = F.max(t.isNotNull() & c.isNotNull())
-    return [
-        F.count(c).alias("count"), F.coalesce(F.sum(c), F.lit(0.0)).alias("sum"), F.coalesce(F.sum(c * c), F.lit(0.0)).alias("sumSq"),
-        F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        stats.quantile_struct(c).alias("quantiles"), hist.alias("histogram"),
-        F.when(any_threshold, F.count_if(c < t)).alias("belowThresholdCount"),
-        F.when(any_threshold, F.count_if(F.abs(c - t) < bins.margin)).alias("nearThresholdCount"),
-        F.max_by("threshold", "ts").alias("threshold"),
-    ]
+#: Grouping sets of cells as (equipment kept, class kept), by `g`.
+LEVELS = [(True, True), (True, False), (False, True), (False, False)]
+QUANTILES, ELAPSED = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95], [0.5, 0.9]
 
 
 CONFIDENCE = ["count", "sum", "sumSq", "mean", "std", "min", "max", "quantiles", "histogram", "belowThresholdCount",
@@ -94,15 +83,10 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
     detection = images is not None
     rows = rows.withColumn("startDate", period_start(F.col("ts"), granularity))
     by = [*keys, "startDate"]
-    # Grouping sets: (equipment, class), (equipment), (class), ().
-    levels = [[*by, "equipment", "class"], [*by, "equipment"], [*by, "class"], by]
     rows = rows.withColumn("class", F.coalesce("class", F.lit("")))
-    rows = rows.withColumn("missing", F.col("confidence").isNull())
-    cells = rows.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in [*by, "equipment", "class"]]).agg(
-        F.grouping_id().alias("g"), F.count("*").alias("rows"), F.count_if("missing").alias("missing"),
-        F.count("elapsed").alias("e_n"), F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("e_sum"), F.min("elapsed").alias("e_min"),
-        F.max("elapsed").alias("e_max"), F.percentile("elapsed", 0.5).alias("e_p50"), F.percentile("elapsed", 0.9).alias("e_p90"),
-        F.count_distinct("inspection").alias("inspections"), F.max_by("backend", "ts").alias("backend"), *confidence_block(bins))
+    cells = _same(_cells(rows, by, bins), _quantiles(rows, by), [*by, "g", "equipment", "class"])
+    nothing = F.struct(*[F.lit(None).cast("double").alias(f.name) for f in cells.schema["quantiles"].dataType])
+    cells = cells.withColumn("quantiles", F.coalesce("quantiles", nothing))
     conf = F.struct(*CONFIDENCE)
     by_class = (F.col("g") % 2) == 0
     level = F.floor(F.col("g") / 2) % 2  # 1: all equipment
@@ -112,7 +96,7 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
     entries = F.sort_array(F.collect_list(F.when(by_class & (F.col("class") != ""), F.struct("class", conf.alias("c"), "rows"))))
     whole = lambda c: F.max(F.when(~by_class, c))
     blocks = cells.groupBy(*by, "level", "equipment").agg(
-        whole(F.col("inspections")).alias("inspectionCount"), whole(F.col("rows")).alias("rows"),
+        whole(F.col("rows")).alias("rows"),
         whole(F.col("missing")).alias("missing"), F.max_by(elapsed, ~by_class).alias("elapsedTime"),
         F.max_by(conf, ~by_class).alias("confidence"), whole(F.col("backend")).alias("backend"), entries.alias("entries"))
     blocks = blocks.withColumn("classCounts", F.map_from_entries(F.transform("entries", lambda e: F.struct(e["class"], e["rows"]))))
@@ -120,6 +104,9 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
     if detection:
         blocks = _with_images(blocks, images, rows, by, granularity, bins)
     else:
+        seen = rows.groupingSets([[F.col(c) for c in [*by, "equipment"]], [F.col(c) for c in by]], *[F.col(c) for c in [*by, "equipment"]]).agg(
+            (F.grouping_id() % 2).alias("level"), F.count_distinct("inspection").alias("inspectionCount"))
+        blocks = _same(blocks, seen, [*by, "level", "equipment"])
         blocks = blocks.withColumns({"predictionCount": F.col("rows"), "boxCount": F.lit(None).cast("long"), "images": F.lit(None).cast(
             "struct<noBoxCount:bigint,boxesPerImage:struct<sum:bigint,sumSq:bigint,max:bigint,histogram:array<bigint>>>")})
     quality = F.struct(F.col("missing").alias("missingConfidenceCount"), F.lit(0).cast("long").alias("parseErrorCount"))
@@ -137,6 +124,84 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
                  F.lit(bins.boxes_max).alias("boxesPerImageMax")).alias("bins"), "total", "equipments")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """`left` with the other columns of `right`, by keys that may be null."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    return left.join(right, same, "left").drop(*[f"_{c}" for c in keys])
+
+
+def _cells(rows: DataFrame, by: list[str], bins: Bins) -> DataFrame:
+    """All but the quantiles at every level: added up from cells (equipment, class, backend), which take one hash aggregation."""
+    c, t = F.col("confidence"), F.col("threshold")
+    at = stats.bin_index_of(c, list(bins.edges))
+    n = len(bins.edges) - 1
+    sums = {"rows": F.count("*"), "missing": F.count_if(c.isNull()), "e_n": F.count("elapsed"), "e_sum": F.sum("elapsed"), "count": F.count(c),
+            "sum": F.sum(c), "sumSq": F.sum(c * c), "below": F.count_if(c < t), "near": F.count_if(F.abs(c - t) < bins.margin),
+            **{f"h{i}": F.count_if(c.isNotNull() & (at == i)) for i in range(n)}}
+    fine = rows.groupBy(*by, "equipment", "class", "backend").agg(
+        *[x.alias(name) for name, x in sums.items()], F.min("elapsed").alias("e_min"), F.max("elapsed").alias("e_max"), F.min(c).alias("min"),
+        F.max(c).alias("max"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.max(t.isNotNull() & c.isNotNull()).alias("judged"),
+        F.max("ts").alias("last"), F.max_by("threshold", "ts").alias("threshold"))
+    # Moments are joined about their means: sums of squares would lose small variances.
+    moments = F.collect_list(F.when(F.col("count") > 0, F.struct(F.col("count").cast("double").alias("n"), "mean", (F.col("var") * F.col("count")).alias("m2"))))
+
+    def joined(s, x):
+        total = s["n"] + x["n"]
+        away = x["mean"] - s["mean"]
+        return F.struct(total.alias("n"), (s["mean"] + away * x["n"] / total).alias("mean"), (s["m2"] + x["m2"] + away * away * s["n"] * x["n"] / total).alias("m2"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    levels = [[F.col(c) for c in by] + [F.col("equipment")] * e + [F.col("class")] * k for e, k in LEVELS]
+    cells = fine.groupingSets(levels, *[F.col(c) for c in [*by, "equipment", "class"]]).agg(
+        F.grouping_id().cast("int").alias("g"), *[F.sum(name).alias(name) for name in sums], *[F.min(x).alias(x) for x in ("e_min", "min")],
+        *[F.max(x).alias(x) for x in ("e_max", "max", "judged")], F.max_by("backend", "last").alias("backend"),
+        F.max_by("threshold", "last").alias("threshold"), F.aggregate(moments, zero, joined).alias("moments"))
+    return cells.withColumns({
+        **{x: F.coalesce(x, F.lit(0.0)) for x in ("e_sum", "sum", "sumSq")}, "mean": stats.mean(F.col("sum"), F.col("count")),
+        "std": F.sqrt(F.try_divide("moments.m2", "moments.n")), "histogram": F.array(*[f"h{i}" for i in range(n)]),
+        "belowThresholdCount": F.when(F.col("judged"), F.col("below")), "nearThresholdCount": F.when(F.col("judged"), F.col("near")),
+    }).drop("moments", "judged", "below", "near", *[f"h{i}" for i in range(n)])
+
+
+def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Exact quantiles of confidence at every level, and of elapsed times where classes are together.
+
+    Values are counted first, and ranked by a running sum of their counts: what a task can't hold of a
+    group it spills, whatever the number of different values.
+    """
+    double = lambda c: F.col(c).cast("double")
+    kinds = F.array(F.struct(F.lit("c").alias("kind"), F.col("class"), double("confidence").alias("v")),
+                    F.struct(F.lit("e").alias("kind"), F.lit(None).cast("string").alias("class"), double("elapsed").alias("v")))
+    counted = rows.select(*by, "equipment", F.explode(kinds).alias("x")).select(*by, "equipment", "x.*").where("v IS NOT NULL")
+    counted = counted.groupBy(*by, "equipment", "class", "kind", "v").agg(F.count("*").alias("n"))
+    kept = lambda name, keep: (F.col(name) if keep else F.lit(None).cast(counted.schema[name].dataType)).alias(name)
+    at = [F.struct(F.lit(g).alias("g"), kept("equipment", e), kept("class", k)) for g, (e, k) in enumerate(LEVELS)]
+    levels = F.when(F.col("kind") == "c", F.array(*at)).otherwise(F.array(at[1], at[3]))
+    group = [*by, "g", "equipment", "class"]
+    counted = counted.select(*by, "kind", "v", "n", F.explode(levels).alias("x")).select(*by, "x.*", "kind", "v", "n")
+    counted = counted.groupBy(*group, "kind", "v").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*group, "kind")
+    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("n").over(w))
+    asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
+    place = lambda n, p: (n - 1) * F.lit(p)
+    # The least value with more than `rank` values up to it.
+    value = lambda kind, rank: F.min(F.when((F.col("kind") == kind) & (F.col("upto") > rank), F.col("v")))
+    n = F.col("n")
+    found = ranked.groupBy(*group).agg(
+        *[F.max(F.when(F.col("kind") == k, n)).alias(f"{k}_n") for k in "ce"],
+        *[value(k, F.floor(place(n, p))).alias(f"lo{i}") for i, (k, p) in enumerate(asked)],
+        *[value(k, F.ceil(place(n, p))).alias(f"hi{i}") for i, (k, p) in enumerate(asked)])
+
+    def between(i):
+        k, p = asked[i]
+        at, lo, hi = place(F.col(f"{k}_n"), p), F.col(f"lo{i}"), F.col(f"hi{i}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return found.select(*group, F.struct(*[between(i).alias(f"p{round(100 * p):02d}") for i, p in enumerate(QUANTILES)]).alias("quantiles"),
+                        *[between(len(QUANTILES) + i).alias(f"e_p{round(100 * p):02d}") for i, p in enumerate(ELAPSED)])
+
+
 def _with_images(blocks: DataFrame, images: DataFrame, boxes: DataFrame, by: list[str], granularity: str, bins: Bins) -> DataFrame:
     """Blocks of boxes with the counts of their images."""
     # One image may be seen by several models, so its boxes are told apart by all keys; keys may be null.
