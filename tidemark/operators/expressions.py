@@ -138,8 +138,10 @@ class Expressions:
         return F.array_max(self.compile(v)) if many is None else F.greatest(*many)
 
     def _round(self, v, many):
-        """Half to even."""
-        return F.bround(many[0], v[1] if len(v) > 1 else 0) if many else F.bround(self.compile(v))
+        """Half to even; what is rounded to zero keeps its sign."""
+        x, places = (many[0], v[1] if len(v) > 1 else 0) if many else (self.compile(v), 0)
+        r = F.bround(x, places)
+        return F.when((r == 0) & (x < 0), -r).otherwise(r)
 
     def _concat(self, v, many):
         return F.concat(*[x.cast("string") for x in many])
