@@ -104,10 +104,8 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
     if detection:
         blocks = _with_images(blocks, images, rows, by, granularity, bins)
     else:
-        seen = rows.groupingSets([[F.col(c) for c in [*by, "equipment"]], [F.col(c) for c in by]], *[F.col(c) for c in [*by, "equipment"]]).agg(
-            (F.grouping_id() % 2).alias("level"), F.count_distinct("inspection").alias("inspectionCount"))
-        blocks = _same(blocks, seen, [*by, "level", "equipment"])
-        blocks = blocks.withColumns({"predictionCount": F.col("rows"), "boxCount": F.lit(None).cast("long"), "images": F.lit(None).cast(
+        blocks = _same(blocks, _inspections(rows, by), [*by, "level", "equipment"])
+        blocks = blocks.withColumns({"inspectionCount": F.coalesce("inspectionCount", F.lit(0)), "predictionCount": F.col("rows"), "boxCount": F.lit(None).cast("long"), "images": F.lit(None).cast(
             "struct<noBoxCount:bigint,boxesPerImage:struct<sum:bigint,sumSq:bigint,max:bigint,histogram:array<bigint>>>")})
     quality = F.struct(F.col("missing").alias("missingConfidenceCount"), F.lit(0).cast("long").alias("parseErrorCount"))
     block = ["inspectionCount", "predictionCount", "boxCount", "quality", "elapsedTime", "classCounts", "confidence", "perClass", "images"]
@@ -131,6 +129,19 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, same, "left").drop(*[f"_{c}" for c in keys])
 
 
+def _inspections(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Different inspections of each equipment and of all, exactly: rows are exchanged and sorted once for both.
+
+    Sorted by inspection, period and equipment, the first row of each is one that wasn't seen before.
+    """
+    w = Window.partitionBy("inspection", *by).orderBy("equipment")
+    seen = rows.where("inspection IS NOT NULL").select(*by, "equipment", "inspection")
+    seen = seen.select(*by, "equipment", F.row_number().over(w).alias("at"), F.rank().over(w).alias("rank"))
+    seen = seen.groupBy(*by, "equipment").agg(F.count_if(F.col("at") == F.col("rank")).alias("own"), F.count_if(F.col("at") == 1).alias("first"))
+    return seen.groupingSets([[F.col(c) for c in [*by, "equipment"]], [F.col(c) for c in by]], *[F.col(c) for c in [*by, "equipment"]]).agg(
+        (F.grouping_id() % 2).alias("level"), F.when(F.grouping("equipment") == 0, F.sum("own")).otherwise(F.sum("first")).alias("inspectionCount"))
+
+
 def _cells(rows: DataFrame, by: list[str], bins: Bins) -> DataFrame:
     """All but the quantiles at every level: added up from cells (equipment, class, backend), which take one hash aggregation."""
     c, t = F.col("confidence"), F.col("threshold")
@@ -179,19 +190,19 @@ def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
     at = [F.struct(F.lit(g).alias("g"), kept("equipment", e), kept("class", k)) for g, (e, k) in enumerate(LEVELS)]
     levels = F.when(F.col("kind") == "c", F.array(*at)).otherwise(F.array(at[1], at[3]))
     group = [*by, "g", "equipment", "class"]
-    counted = counted.select(*by, "kind", "v", "n", F.explode(levels).alias("x")).select(*by, "x.*", "kind", "v", "n")
-    counted = counted.groupBy(*group, "kind", "v").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*group, "kind")
-    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("n").over(w))
+    ranked = counted.select(*by, "kind", "v", "n", F.explode(levels).alias("x")).select(*by, "x.*", "kind", "v", "n")
+    # A value may come once from each cell: the running sum passes a rank at one row only, whatever the order of equal values.
+    w = Window.partitionBy(*group, "kind").orderBy("v")
+    ranked = ranked.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                                 "all": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
     place = lambda n, p: (n - 1) * F.lit(p)
-    # The least value with more than `rank` values up to it.
-    value = lambda kind, rank: F.min(F.when((F.col("kind") == kind) & (F.col("upto") > rank), F.col("v")))
-    n = F.col("n")
+    passes = lambda kind, rank: (F.col("kind") == kind) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+    ranks = [(k, [F.floor(place(F.col("all"), p)), F.ceil(place(F.col("all"), p))]) for k, p in asked]
+    ranked = ranked.where(reduce(lambda a, b: a | b, [passes(k, r) for k, both in ranks for r in both]))
     found = ranked.groupBy(*group).agg(
-        *[F.max(F.when(F.col("kind") == k, n)).alias(f"{k}_n") for k in "ce"],
-        *[value(k, F.floor(place(n, p))).alias(f"lo{i}") for i, (k, p) in enumerate(asked)],
-        *[value(k, F.ceil(place(n, p))).alias(f"hi{i}") for i, (k, p) in enumerate(asked)])
+        *[F.max(F.when(F.col("kind") == k, F.col("all"))).alias(f"{k}_n") for k in "ce"],
+        *[F.max(F.when(passes(k, r), F.col("v"))).alias(f"{name}{i}") for i, (k, both) in enumerate(ranks) for name, r in zip(("lo", "hi"), both)])
 
     def between(i):
         k, p = asked[i]
