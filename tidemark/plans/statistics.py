@@ -194,23 +194,24 @@ def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
     # A value may come once from each cell: the running sum passes a rank at one row only, whatever the order of equal values.
     w = Window.partitionBy(*group, "kind").orderBy("v")
     ranked = ranked.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                                 "all": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+                                 "whole": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # As SQL: so many conditions take seconds to make as columns, one call each.
     asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
-    place = lambda n, p: (n - 1) * F.lit(p)
-    passes = lambda kind, rank: (F.col("kind") == kind) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-    ranks = [(k, [F.floor(place(F.col("all"), p)), F.ceil(place(F.col("all"), p))]) for k, p in asked]
-    ranked = ranked.where(reduce(lambda a, b: a | b, [passes(k, r) for k, both in ranks for r in both]))
+    passes = {f"{name}{i}": f"(kind = '{k}' AND upto > {rank} AND upto - n <= {rank})" for i, (k, p) in enumerate(asked)
+              for name, rank in (("lo", f"floor((whole - 1) * {p}D)"), ("hi", f"ceil((whole - 1) * {p}D)"))}
+    ranked = ranked.where(" OR ".join(passes.values()))
     found = ranked.groupBy(*group).agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("all"))).alias(f"{k}_n") for k in "ce"],
-        *[F.max(F.when(passes(k, r), F.col("v"))).alias(f"{name}{i}") for i, (k, both) in enumerate(ranks) for name, r in zip(("lo", "hi"), both)])
+        *[F.expr(f"max(CASE WHEN kind = '{k}' THEN whole END) AS {k}_n") for k in "ce"],
+        *[F.expr(f"max(CASE WHEN {test} THEN v END) AS {name}") for name, test in passes.items()])
 
     def between(i):
         k, p = asked[i]
-        at, lo, hi = place(F.col(f"{k}_n"), p), F.col(f"lo{i}"), F.col(f"hi{i}")
-        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+        at = f"(({k}_n - 1) * {p}D)"
+        return f"CASE WHEN lo{i} = hi{i} THEN lo{i} ELSE (ceil({at}) - {at}) * lo{i} + ({at} - floor({at})) * hi{i} END"
 
-    return found.select(*group, F.struct(*[between(i).alias(f"p{round(100 * p):02d}") for i, p in enumerate(QUANTILES)]).alias("quantiles"),
-                        *[between(len(QUANTILES) + i).alias(f"e_p{round(100 * p):02d}") for i, p in enumerate(ELAPSED)])
+    named = [f"{between(i)} AS p{round(100 * p):02d}" for i, p in enumerate(QUANTILES)]
+    return found.select(*group, F.expr(f"struct({', '.join(named)}) AS quantiles"),
+                        *[F.expr(f"{between(len(QUANTILES) + i)} AS e_p{round(100 * p):02d}") for i, p in enumerate(ELAPSED)])
 
 
 def _with_images(blocks: DataFrame, images: DataFrame, boxes: DataFrame, by: list[str], granularity: str, bins: Bins) -> DataFrame:
