@@ -1,9 +1,9 @@
 """Raw predictions to per-period statistics documents.
 
-One hash aggregation of fixed state makes cells of (equipment, class); the blocks of classes and of
-totals, of each equipment and of all, are these added up. What can't be added is made at every level
-from the rows: exact quantiles from counts of each value in order, inspections by counting different
-ones. Histograms are sums of indicator columns.
+Rows that agree in all that is measured are counted once; cells of (equipment, class) are made from
+these counts, and the blocks of classes and of totals, of each equipment and of all, are cells added
+up. What can't be added is made at every level: exact quantiles and deviations from counts of each
+value in order, inspections by counting different ones. Histograms are sums of indicator columns.
 """
 
 from __future__ import annotations
@@ -11,17 +11,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 
 # Period lengths in hours.
 HOURS = {"hourly": 1, "shift": 12, "daily": 24, "weekly": 168}
+#: Names of the zone in which periods are remainders, and its first Monday in microseconds.
+UTC, MONDAY = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"), 4 * 86_400_000_000
 
 
 def period_start(ts: Column, granularity: str) -> Column:
-    """Hours, half days from midnight UTC, days, weeks from Monday."""
+    """Hours, half days from midnight UTC, days, weeks from Monday.
+
+    In a session at UTC these are remainders of microseconds; truncation asks the time zone of every row, which takes longer than reading it.
+    """
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in UTC:
+        at = F.unix_micros(ts.cast("timestamp"))
+        return F.timestamp_micros(at - F.pmod(at - F.lit(MONDAY), F.lit(HOURS[granularity] * 3_600_000_000)))
     unit = {"hourly": "hour", "daily": "day", "weekly": "week"}
     if granularity == "shift":
         day = F.date_trunc("day", ts)
@@ -84,7 +92,8 @@ def statistics(rows: DataFrame, keys: list[str], granularity: str, bins: Bins =
     rows = rows.withColumn("startDate", period_start(F.col("ts"), granularity))
     by = [*keys, "startDate"]
     rows = rows.withColumn("class", F.coalesce("class", F.lit("")))
-    cells = _same(_cells(rows, by, bins), _quantiles(rows, by), [*by, "g", "equipment", "class"])
+    counted = _counted(rows, by)
+    cells = _same(_cells(counted, by, bins), _quantiles(counted, by), [*by, "g", "equipment", "class"])
     nothing = F.struct(*[F.lit(None).cast("double").alias(f.name) for f in cells.schema["quantiles"].dataType])
     cells = cells.withColumn("quantiles", F.coalesce("quantiles", nothing))
     conf = F.struct(*CONFIDENCE)
@@ -142,41 +151,37 @@ def _inspections(rows: DataFrame, by: list[str]) -> DataFrame:
         (F.grouping_id() % 2).alias("level"), F.when(F.grouping("equipment") == 0, F.sum("own")).otherwise(F.sum("first")).alias("inspectionCount"))
 
 
-def _cells(rows: DataFrame, by: list[str], bins: Bins) -> DataFrame:
-    """All but the quantiles at every level: added up from cells (equipment, class, backend), which take one hash aggregation."""
-    c, t = F.col("confidence"), F.col("threshold")
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that agree in all that is measured, counted: the only pass over the rows for cells and quantiles."""
+    return rows.groupBy(*by, "equipment", "class", "backend", "threshold", "confidence", "elapsed").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+def _cells(counted: DataFrame, by: list[str], bins: Bins) -> DataFrame:
+    """All but the quantiles and deviations at every level: added up from cells (equipment, class, backend), which take one hash aggregation."""
+    c, t, e = F.col("confidence"), F.col("threshold"), F.col("elapsed")
     at = stats.bin_index_of(c, list(bins.edges))
     n = len(bins.edges) - 1
-    sums = {"rows": F.count("*"), "missing": F.count_if(c.isNull()), "e_n": F.count("elapsed"), "e_sum": F.sum("elapsed"), "count": F.count(c),
-            "sum": F.sum(c), "sumSq": F.sum(c * c), "below": F.count_if(c < t), "near": F.count_if(F.abs(c - t) < bins.margin),
-            **{f"h{i}": F.count_if(c.isNotNull() & (at == i)) for i in range(n)}}
-    fine = rows.groupBy(*by, "equipment", "class", "backend").agg(
-        *[x.alias(name) for name, x in sums.items()], F.min("elapsed").alias("e_min"), F.max("elapsed").alias("e_max"), F.min(c).alias("min"),
-        F.max(c).alias("max"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.max(t.isNotNull() & c.isNotNull()).alias("judged"),
-        F.max("ts").alias("last"), F.max_by("threshold", "ts").alias("threshold"))
-    # Moments are joined about their means: sums of squares would lose small variances.
-    moments = F.collect_list(F.when(F.col("count") > 0, F.struct(F.col("count").cast("double").alias("n"), "mean", (F.col("var") * F.col("count")).alias("m2"))))
-
-    def joined(s, x):
-        total = s["n"] + x["n"]
-        away = x["mean"] - s["mean"]
-        return F.struct(total.alias("n"), (s["mean"] + away * x["n"] / total).alias("mean"), (s["m2"] + x["m2"] + away * away * s["n"] * x["n"] / total).alias("m2"))
-
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    many = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    sums = {"rows": F.sum("n"), "missing": many(c.isNull()), "e_n": many(e.isNotNull()), "e_sum": F.sum(e * F.col("n")), "count": many(c.isNotNull()),
+            "sum": F.sum(c * F.col("n")), "sumSq": F.sum(c * c * F.col("n")), "below": many(c < t), "near": many(F.abs(c - t) < bins.margin),
+            **{f"h{i}": many(c.isNotNull() & (at == i)) for i in range(n)}}
+    fine = counted.groupBy(*by, "equipment", "class", "backend").agg(
+        *[x.alias(name) for name, x in sums.items()], F.min(e).alias("e_min"), F.max(e).alias("e_max"), F.min(c).alias("min"),
+        F.max(c).alias("max"), F.max(t.isNotNull() & c.isNotNull()).alias("judged"),
+        F.max("last").alias("last"), F.max_by("threshold", "last").alias("threshold"))
     levels = [[F.col(c) for c in by] + [F.col("equipment")] * e + [F.col("class")] * k for e, k in LEVELS]
     cells = fine.groupingSets(levels, *[F.col(c) for c in [*by, "equipment", "class"]]).agg(
         F.grouping_id().cast("int").alias("g"), *[F.sum(name).alias(name) for name in sums], *[F.min(x).alias(x) for x in ("e_min", "min")],
         *[F.max(x).alias(x) for x in ("e_max", "max", "judged")], F.max_by("backend", "last").alias("backend"),
-        F.max_by("threshold", "last").alias("threshold"), F.aggregate(moments, zero, joined).alias("moments"))
+        F.max_by("threshold", "last").alias("threshold"))
     return cells.withColumns({
-        **{x: F.coalesce(x, F.lit(0.0)) for x in ("e_sum", "sum", "sumSq")}, "mean": stats.mean(F.col("sum"), F.col("count")),
-        "std": F.sqrt(F.try_divide("moments.m2", "moments.n")), "histogram": F.array(*[f"h{i}" for i in range(n)]),
+        **{x: F.coalesce(x, F.lit(0.0)) for x in ("e_sum", "sum", "sumSq")}, "mean": stats.mean(F.col("sum"), F.col("count")), "histogram": F.array(*[f"h{i}" for i in range(n)]),
         "belowThresholdCount": F.when(F.col("judged"), F.col("below")), "nearThresholdCount": F.when(F.col("judged"), F.col("near")),
-    }).drop("moments", "judged", "below", "near", *[f"h{i}" for i in range(n)])
+    }).drop("judged", "below", "near", *[f"h{i}" for i in range(n)])
 
 
-def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Exact quantiles of confidence at every level, and of elapsed times where classes are together.
+def _quantiles(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Exact quantiles and deviation of confidence at every level, and quantiles of elapsed times where classes are together.
 
     Values are counted first, and ranked by a running sum of their counts: what a task can't hold of a
     group it spills, whatever the number of different values.
@@ -184,8 +189,10 @@ def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
     double = lambda c: F.col(c).cast("double")
     kinds = F.array(F.struct(F.lit("c").alias("kind"), F.col("class"), double("confidence").alias("v")),
                     F.struct(F.lit("e").alias("kind"), F.lit(None).cast("string").alias("class"), double("elapsed").alias("v")))
-    counted = rows.select(*by, "equipment", F.explode(kinds).alias("x")).select(*by, "equipment", "x.*").where("v IS NOT NULL")
-    counted = counted.groupBy(*by, "equipment", "class", "kind", "v").agg(F.count("*").alias("n"))
+    # True of every row: `last` is read here too, so that this plan and that of the cells have one aggregation of the rows, made once.
+    counted = counted.where("n > 0 OR last IS NOT NULL")
+    counted = counted.select(*by, "equipment", "n", F.explode(kinds).alias("x")).select(*by, "equipment", "x.*", "n").where("v IS NOT NULL")
+    counted = counted.groupBy(*by, "equipment", "class", "kind", "v").agg(F.sum("n").alias("n"))
     kept = lambda name, keep: (F.col(name) if keep else F.lit(None).cast(counted.schema[name].dataType)).alias(name)
     at = [F.struct(F.lit(g).alias("g"), kept("equipment", e), kept("class", k)) for g, (e, k) in enumerate(LEVELS)]
     levels = F.when(F.col("kind") == "c", F.array(*at)).otherwise(F.array(at[1], at[3]))
@@ -193,14 +200,16 @@ def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
     ranked = counted.select(*by, "kind", "v", "n", F.explode(levels).alias("x")).select(*by, "x.*", "kind", "v", "n")
     # A value may come once from each cell: the running sum passes a rank at one row only, whatever the order of equal values.
     w = Window.partitionBy(*group, "kind").orderBy("v")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = ranked.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                                 "whole": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+                                 "whole": F.sum("n").over(every), "mean": F.sum(F.col("v") * F.col("n")).over(every) / F.sum("n").over(every)})
     # As SQL: so many conditions take seconds to make as columns, one call each.
     asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
     passes = {f"{name}{i}": f"(kind = '{k}' AND upto > {rank} AND upto - n <= {rank})" for i, (k, p) in enumerate(asked)
               for name, rank in (("lo", f"floor((whole - 1) * {p}D)"), ("hi", f"ceil((whole - 1) * {p}D)"))}
-    ranked = ranked.where(" OR ".join(passes.values()))
+    # Squares are of what is left of the mean: sums of squares would lose small variances.
     found = ranked.groupBy(*group).agg(
+        F.expr("sqrt(sum(CASE WHEN kind = 'c' THEN n * (v - mean) * (v - mean) END) / max(CASE WHEN kind = 'c' THEN whole END)) AS std"),
         *[F.expr(f"max(CASE WHEN kind = '{k}' THEN whole END) AS {k}_n") for k in "ce"],
         *[F.expr(f"max(CASE WHEN {test} THEN v END) AS {name}") for name, test in passes.items()])
 
@@ -210,7 +219,7 @@ def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
         return f"CASE WHEN lo{i} = hi{i} THEN lo{i} ELSE (ceil({at}) - {at}) * lo{i} + ({at} - floor({at})) * hi{i} END"
 
     named = [f"{between(i)} AS p{round(100 * p):02d}" for i, p in enumerate(QUANTILES)]
-    return found.select(*group, F.expr(f"struct({', '.join(named)}) AS quantiles"),
+    return found.select(*group, "std", F.expr(f"struct({', '.join(named)}) AS quantiles"),
                         *[F.expr(f"{between(len(QUANTILES) + i)} AS e_p{round(100 * p):02d}") for i, p in enumerate(ELAPSED)])
 
 
