@@ -39,8 +39,9 @@ from .shared import fresh_dir, lean
 WINDOW, CUT_BITS, LONGEST = 16, 9, 4096
 BLOCK_DOCS = 200_000
 WORDS_A_CALL = 256
-_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
-_GEAR = np.random.default_rng(50).integers(0, 2**63, 1 << 17, dtype=np.uint64)
+#: Bytes that may be white space, or begin it: controls, the space, and leads of U+0080, U+1680, U+2000 and U+3000.
+_MAYBE_SPACE = np.isin(np.arange(256), [*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3])
+_GEAR = np.random.default_rng(50).integers(0, 2**63, 1 << 17, dtype=np.uint64).astype(np.uint32)
 
 CHUNKED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("digests", T.ArrayType(T.BinaryType())),
@@ -61,13 +62,13 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a batch of documents; a document's cuts depend on its ids alone."""
+    # Bits from WINDOW + CUT_BITS on are never asked for, and none below depends on them.
     h, reach = _GEAR[ids & (len(_GEAR) - 1)], 1
     while reach < WINDOW:  # the sum over 2 * reach ids from that over reach; WINDOW is a power of two
-        wider = h.copy()
-        wider[reach:] += h[:-reach] << np.uint64(reach)
-        h, reach = wider, 2 * reach
+        h[reach:] += h[:-reach] << np.uint32(reach)  # the right side is made whole before it is added
+        reach *= 2
     # Bits under the window's reach mix all WINDOW ids only from bit WINDOW - 1 on.
-    hit = np.flatnonzero((h >> np.uint64(WINDOW)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+    hit = np.flatnonzero(h & np.uint32(((1 << CUT_BITS) - 1) << WINDOW) == 0) + 1
     doc = np.searchsorted(offsets, hit - 1, "right") - 1
     hit = hit[hit - offsets[doc] >= WINDOW]
     ends = np.union1d(hit, offsets[1:])
@@ -81,8 +82,9 @@ def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _library_pieces(path: str):
     """Encodes different pieces with the tokenizers library.
 
-    Where the file keeps spaces, its pattern cuts before any space that stands between letters, so pieces of a
-    space and letters are given to it WORDS_A_CALL in one text; their ids are told apart by their bytes.
+    Where the file keeps spaces, its pattern cuts before any space that stands between other characters, and on both
+    sides of a newline there. So pieces without white space but a space before them are given to it WORDS_A_CALL in
+    one text, and those without any so with a newline after each; their ids are told apart by their bytes.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     split = bpe_codec.splitter(path)
@@ -96,25 +98,41 @@ def _library_pieces(path: str):
         ids = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def encode(raw, starts, ends):
-        size = ends - starts
-        word = np.zeros(len(starts), bool)
-        if split.keeps_space and len(starts):
-            word = (size > 1) & (raw[starts] == 0x20) & _LETTER[raw[np.minimum(starts + 1, len(raw) - 1)]]
-        many, one = np.flatnonzero(word), np.flatnonzero(~word)
-        data = raw.tobytes()
-        singles, single_counts = flat_ids([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[one].tolist(), ends[one].tolist())])
-        stop = np.cumsum(size[many])
-        data = raw[textbuf.spread(starts[many], size[many])].tobytes()
+    def together(data: bytes, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that end at `stop`, and where those of each end."""
         bounds = [0, *stop[WORDS_A_CALL - 1 :: WORDS_A_CALL].tolist()]
         bounds += [len(data)] if bounds[-1] < len(data) else []
-        words, _ = flat_ids([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])])
-        last = np.searchsorted(np.cumsum(width[words]), stop) + 1
-        counts = np.empty(len(starts), np.int64)
-        counts[many], counts[one] = np.diff(last, prepend=0), single_counts
-        at = np.empty(len(starts), np.int64)
-        at[many], at[one] = last - counts[many], len(words) + np.cumsum(single_counts) - single_counts
-        return np.concatenate([words, singles])[textbuf.spread(at, counts)], np.concatenate([[0], np.cumsum(counts)])
+        ids, _ = flat_ids([data[a:b].decode() for a, b in zip(bounds, bounds[1:])])
+        return ids, np.searchsorted(np.cumsum(width[ids]), stop) + 1
+
+    def encode(raw, starts, ends):
+        size = ends - starts
+        stop = np.cumsum(size)
+        data = raw[textbuf.spread(starts, size)]
+        try:
+            data.tobytes().decode()
+            joins = split.keeps_space
+        except UnicodeDecodeError:  # a replaced character has other bytes
+            joins = False
+        spaced, alone = np.zeros(len(size), bool), np.zeros(len(size), bool)
+        if joins and len(data):
+            spaced = (size > 1) & (raw[starts] == 0x20)
+            blanks = np.concatenate([[0], np.cumsum(_MAYBE_SPACE[data])])
+            blanks = blanks[stop] - blanks[stop - size]
+            spaced, alone = spaced & (blanks == 1), blanks == 0
+        with_space, bare, one = np.flatnonzero(spaced), np.flatnonzero(alone), np.flatnonzero(~spaced & ~alone)
+        whole = data.tobytes()
+        singles, single_counts = flat_ids([whole[b - n : b].decode("utf-8", "replace") for b, n in zip(stop[one].tolist(), size[one].tolist())])
+        words, last = together(data[np.repeat(spaced, size)].tobytes(), np.cumsum(size[with_space]))
+        lines = np.insert(data[np.repeat(alone, size)], np.cumsum(size[bare]), 0x0A)
+        bares, bare_last = together(lines.tobytes(), np.cumsum(size[bare] + 1))
+        counts, at = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        counts[with_space], counts[one] = np.diff(last, prepend=0), single_counts
+        at[with_space], at[one] = last - counts[with_space], len(words) + np.cumsum(single_counts) - single_counts
+        counts[bare] = np.diff(bare_last, prepend=0)
+        at[bare] = len(words) + len(singles) + bare_last - counts[bare]
+        counts[bare] -= 1  # the newline's id
+        return np.concatenate([words, singles, bares])[textbuf.spread(at, counts)], np.concatenate([[0], np.cumsum(counts)])
 
     return encode
 
