@@ -50,6 +50,11 @@ class Bins:
 
 #: Grouping sets of cells as (equipment kept, class kept), by `g`.
 LEVELS = [(True, True), (True, False), (False, True), (False, False)]
+#: Rows from which on a group's values are sought in spans first.
+MANY = 5_000
+#: SQL for the span of a value `v`, which never falls as v grows: 32 an octave of v, between a half and 1 an octave of 1 - v.
+SPAN = """CASE WHEN v < 0 THEN -200000 WHEN v = 0 THEN -190000 WHEN v <= 0.5D THEN floor(32 * log2(v)) WHEN v < 1 THEN floor(-32 * log2(1 - v))
+          WHEN v < 1e300D THEN 10000 + floor(32 * log2(v)) ELSE 200000 END"""
 QUANTILES, ELAPSED = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95], [0.5, 0.9]
 
 
@@ -180,11 +185,29 @@ def _cells(counted: DataFrame, by: list[str], bins: Bins) -> DataFrame:
     }).drop("judged", "below", "near", *[f"h{i}" for i in range(n)])
 
 
+def _passes(asked: list[tuple[str, float]]) -> dict[str, str]:
+    """SQL by name: whether the counts of a row pass the ranks below and above each quantile."""
+    return {f"{name}{i}": f"(kind = '{k}' AND upto > {rank} AND upto - n <= {rank})" for i, (k, p) in enumerate(asked)
+            for name, rank in (("lo", f"floor((whole - 1) * {p}D)"), ("hi", f"ceil((whole - 1) * {p}D)"))}
+
+
+def _wanted(spans: DataFrame, group: list[str], asked: list[tuple[str, float]]) -> DataFrame:
+    """Of each group of MANY rows or more: its rows and mean, and the spans that hold a rank that is asked for, with the rows before them."""
+    spans = spans.groupBy(*group, "span").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    w = Window.partitionBy(*group).orderBy("span")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spans = spans.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("n").over(every)})
+    held = F.expr(f"CASE WHEN {' OR '.join(_passes(asked).values())} THEN struct(span, upto - n) END")
+    return spans.where(F.col("whole") >= MANY).groupBy(*group).agg(
+        F.max("whole").alias("known"), (F.sum("s") / F.sum("n")).alias("centre"), F.map_from_entries(F.collect_list(held)).alias("spans"))
+
+
 def _quantiles(counted: DataFrame, by: list[str]) -> DataFrame:
     """Exact quantiles and deviation of confidence at every level, and quantiles of elapsed times where classes are together.
 
-    Values are counted first, and ranked by a running sum of their counts: what a task can't hold of a
-    group it spills, whatever the number of different values.
+    Only values near a rank that is asked for are ranked. Counts of SPANS say which these are in a group of MANY rows
+    or more, and how many rows come before them; of the other rows only the deviation is added up. Smaller groups are
+    ranked whole, so there are at most 6 / MANY of the rows' number of groups in the broadcast.
     """
     double = lambda c: F.col(c).cast("double")
     kinds = F.array(F.struct(F.lit("c").alias("kind"), F.col("class"), double("confidence").alias("v")),
@@ -192,24 +215,31 @@ def _quantiles(counted: DataFrame, by: list[str]) -> DataFrame:
     # True of every row: `last` is read here too, so that this plan and that of the cells have one aggregation of the rows, made once.
     counted = counted.where("n > 0 OR last IS NOT NULL")
     counted = counted.select(*by, "equipment", "n", F.explode(kinds).alias("x")).select(*by, "equipment", "x.*", "n").where("v IS NOT NULL")
-    counted = counted.groupBy(*by, "equipment", "class", "kind", "v").agg(F.sum("n").alias("n"))
     kept = lambda name, keep: (F.col(name) if keep else F.lit(None).cast(counted.schema[name].dataType)).alias(name)
     at = [F.struct(F.lit(g).alias("g"), kept("equipment", e), kept("class", k)) for g, (e, k) in enumerate(LEVELS)]
     levels = F.when(F.col("kind") == "c", F.array(*at)).otherwise(F.array(at[1], at[3]))
     group = [*by, "g", "equipment", "class"]
-    ranked = counted.select(*by, "kind", "v", "n", F.explode(levels).alias("x")).select(*by, "x.*", "kind", "v", "n")
-    # A value may come once from each cell: the running sum passes a rank at one row only, whatever the order of equal values.
-    w = Window.partitionBy(*group, "kind").orderBy("v")
+    counted = counted.withColumn("span", F.expr(SPAN))
+    leveled = lambda df, *more: df.select(*by, "kind", *more, F.explode(levels).alias("x")).select(*by, "x.*", "kind", *more)
+    asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
+    wanted = _wanted(leveled(counted.groupBy(*by, "equipment", "class", "kind", "span").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s")),
+                             "span", "n", "s"), [*group, "kind"], asked)
+    ranked = _same(leveled(counted, "span", "v", "n"), F.broadcast(wanted), [*group, "kind"])
+    ranked = ranked.withColumn("before", F.try_element_at("spans", F.col("span")))
+    # Rows whose place isn't asked for are one row of their group, without a value.
+    ranked = ranked.groupBy(*group, "kind", "known", "before", F.expr("CASE WHEN known IS NULL OR before IS NOT NULL THEN v END AS v")).agg(
+        F.sum("n").alias("n"), F.sum(F.expr("CASE WHEN known IS NOT NULL THEN n * (v - centre) * (v - centre) END")).alias("squares"))
+    # A running sum passes a rank at one row only.
+    w = Window.partitionBy(*group, "kind", "before").orderBy("v")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                                 "whole": F.sum("n").over(every), "mean": F.sum(F.col("v") * F.col("n")).over(every) / F.sum("n").over(every)})
+    ranked = ranked.withColumns({"upto": F.coalesce("before", F.lit(0)) + F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                                 "whole": F.coalesce("known", F.sum("n").over(every)), "mean": F.sum(F.col("v") * F.col("n")).over(every) / F.sum("n").over(every)})
+    ranked = ranked.withColumn("squares", F.coalesce("squares", F.expr("n * (v - mean) * (v - mean)")))
     # As SQL: so many conditions take seconds to make as columns, one call each.
-    asked = [("c", p) for p in QUANTILES] + [("e", p) for p in ELAPSED]
-    passes = {f"{name}{i}": f"(kind = '{k}' AND upto > {rank} AND upto - n <= {rank})" for i, (k, p) in enumerate(asked)
-              for name, rank in (("lo", f"floor((whole - 1) * {p}D)"), ("hi", f"ceil((whole - 1) * {p}D)"))}
+    passes = _passes(asked)
     # Squares are of what is left of the mean: sums of squares would lose small variances.
     found = ranked.groupBy(*group).agg(
-        F.expr("sqrt(sum(CASE WHEN kind = 'c' THEN n * (v - mean) * (v - mean) END) / max(CASE WHEN kind = 'c' THEN whole END)) AS std"),
+        F.expr("sqrt(sum(CASE WHEN kind = 'c' THEN squares END) / max(CASE WHEN kind = 'c' THEN whole END)) AS std"),
         *[F.expr(f"max(CASE WHEN kind = '{k}' THEN whole END) AS {k}_n") for k in "ce"],
         *[F.expr(f"max(CASE WHEN {test} THEN v END) AS {name}") for name, test in passes.items()])
 
